@@ -51,6 +51,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def all_present(columns: list[str]) -> Column:
+    """True when no listed column is NULL."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
 def is_filled(df: DataFrame, columns: list[str]) -> Column:
     """True when no listed column is NULL (or NaN, for floating columns).
 

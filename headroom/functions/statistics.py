@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from headroom.functions.columns import all_present
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -101,7 +103,7 @@ def correlation_summary(rows: DataFrame, x: str, y: str) -> DataFrame:
 
     ``rows`` is a result table with one row per model.
     """
-    filled = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    filled = rows.where(all_present([x, y])).select(x, y)
     ranked = filled.select(
         x, y, average_rank(x).alias("x_rank"), average_rank(y).alias("y_rank")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headroom import contracts as C
-from headroom.functions.columns import present
+from headroom.functions.columns import all_present, present
 from headroom.operators.series import CHUNK, SeriesCuts
 
 
@@ -32,7 +32,7 @@ def events_context(events: DataFrame, schedule_type: int = C.SCHEDULE_TYPE) -> D
     )
     latest = F.max_by(F.struct(*payload), recency).alias("latest")
     return (
-        events.na.drop(subset=C.SERIES_KEYS)
+        events.where(all_present(C.SERIES_KEYS))
         .groupBy(*C.SERIES_KEYS)
         .agg(latest)
         .select(*C.SERIES_KEYS, "latest.*")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headroom import contracts as C
+from headroom.functions.columns import all_present
 
 CHUNK = "chunk"
 LONG_SERIES_FLOOR = 1_000_000
@@ -28,7 +29,7 @@ LONG_SERIES_FACTOR = 2
 
 def with_series_key(df: DataFrame) -> DataFrame:
     """Rows that belong to a series (both key columns present)."""
-    return df.na.drop(subset=C.SERIES_KEYS)
+    return df.where(all_present(C.SERIES_KEYS))
 
 
 def series_order() -> list[Column]:

@@ -18,6 +18,7 @@ from headroom.operators import chartdata, forecast, ordering, policy
 from headroom.operators import features as fe
 from headroom.operators.context import events_context, join_context
 from headroom.operators.ordering import TimeSplit
+from headroom.operators.series import find_cuts
 from headroom.plans import jobs
 from headroom.plans.stand_ins import MODELS, REFERENCE_MODEL, stand_in_predictions
 from headroom.sources import adapters, sinks, tables
@@ -30,10 +31,16 @@ REDUCED_GRID = {"max_depth": [3, 5], "min_samples_split": [2, 10], "n_estimators
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _staged(
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    build: Callable[[SparkSession, str], DataFrame],
+    partition_by: list[str] | None = None,
+) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGED:
-        _STAGED[key] = stage(build(), name)
+        _STAGED[key] = stage(build(spark, sf_dir), name, partition_by)
     return _STAGED[key]
 
 
@@ -60,15 +67,17 @@ def instance_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fe.featured_usage(usage(spark, sf_dir), instance_events(spark, sf_dir))
+    # Series lengths do not depend on the arrays, so counting them skips their join.
+    cuts = find_cuts(usage_rows(spark, sf_dir))
+    return fe.featured_usage(usage(spark, sf_dir), instance_events(spark, sf_dir), cuts)
 
 
 def features_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fe.build_features(usage(spark, sf_dir), instance_events(spark, sf_dir))
+    return fe.drop_incomplete(featured(spark, sf_dir))
 
 
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged(spark, sf_dir, "features", lambda: features_clean(spark, sf_dir))
+    return _staged(spark, sf_dir, "features", features_clean)
 
 
 def split(spark: SparkSession, sf_dir: str) -> TimeSplit:
@@ -80,7 +89,7 @@ def baseline_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged(spark, sf_dir, "predictions", lambda: baseline_predictions(spark, sf_dir))
+    return _staged(spark, sf_dir, "predictions", baseline_predictions, ["model"])
 
 
 def one_model(spark: SparkSession, sf_dir: str, model: str = REFERENCE_MODEL) -> DataFrame:
@@ -293,7 +302,7 @@ def series_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scatter_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chartdata.scatter_sample(one_model(spark, sf_dir))
+    return _rounded(chartdata.scatter_sample(one_model(spark, sf_dir)), "r2", "lim_max")
 
 
 # --- Stored tables ---------------------------------------------------------------------

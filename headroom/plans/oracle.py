@@ -366,6 +366,15 @@ ORACLE = {
                       ORDER BY start_time, row_id LIMIT {C.TRACE_ROWS}) p)
             WHERE shown >= {C.TRACE_MIN_ROWS}""",
     ),
+    # Up to SAMPLE_ROWS rows the sample is the whole test set, whatever the hash.
+    "scatter_sample": _with(
+        ["pred_v"],
+        """SELECT actual_cpu AS actual, predicted_cpu AS predicted,
+                  round(greatest(max(actual_cpu) OVER (), max(predicted_cpu) OVER ()) * 1.05::DOUBLE, 6)
+                      AS lim_max,
+                  round(corr(actual_cpu, predicted_cpu) OVER () ** 2, 6) AS r2
+           FROM pred_v WHERE model = 'lag1'""",
+    ),
     "csv_round_trip": _with(["grid_v"], f"SELECT model, threshold, {_OUTCOME} FROM grid_v"),
     "json_summary": _with(
         ["pvalue_v"],

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 WINDOW_US = 300_000_000
 EVENTS_EPOCH = "2024-01-01"
 UNIX_EPOCH = "1970-01-01"
+CURVES = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _micros_since(epoch: str, column: str) -> Column:
-    """Microseconds since ``epoch``; the columns carry no zone and none is assumed."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{epoch}', {column})")
+    """Microseconds since ``epoch``; the columns carry no zone and none is assumed.
+
+    Built from the parts of the interval: ``timestampdiff`` would go through the session
+    time zone and miscount across its clock changes.
+    """
+    elapsed = F.col(column) - F.expr(f"TIMESTAMP_NTZ'{epoch}'")
+    part = lambda unit: F.extract(F.lit(unit), elapsed)
+    seconds = (part("DAY").cast("long") * 24 + part("HOUR")) * 3600 + part("MINUTE") * 60
+    return seconds * 1_000_000 + _long(part("SECOND") * 1_000_000)
 
 
 def _long(value: Column) -> Column:
@@ -51,9 +59,14 @@ def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``instance_usage`` with both distribution arrays taken from ``embeddings``."""
+    """``instance_usage`` with both distribution arrays taken from ``embeddings``.
+
+    Only vectors 0 to 499 can match, and ``vec_id`` is a key, so the broadcast side never
+    exceeds 500 rows.
+    """
     as_curve = lambda first, n: F.slice("embedding", first, n).cast("array<double>")
-    curves = table(spark, sf_dir, "embeddings").select(
+    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id").between(0, CURVES - 1))
+    curves = vectors.select(
         F.col("vec_id"),
         as_curve(1, 11).alias("cpu_usage_distribution"),
         as_curve(12, 9).alias("tail"),
@@ -61,7 +74,9 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = usage_rows(spark, sf_dir)
     tail = F.when(F.col("row_id") % 7 == 0, F.col("short_tail")).otherwise(F.col("tail"))
-    joined = rows.join(curves, F.col("row_id") % 500 == F.col("vec_id"), "left")
+    joined = rows.join(
+        F.broadcast(curves), F.col("row_id") % CURVES == F.col("vec_id"), "left"
+    )
     return joined.select(
         *rows.columns, "cpu_usage_distribution", tail.alias("tail_cpu_usage_distribution")
     )
