@@ -60,7 +60,7 @@ def join_context(
     if not cuts or CHUNK not in usage.columns:
         return usage.join(context, C.SERIES_KEYS, "left")
     added = [c for c in context.columns if c not in C.SERIES_KEYS]
-    whole = context.withColumn(CHUNK, F.lit(0).cast("long"))
+    whole = cuts.whole_chunk(context)
     long = F.broadcast(
         cuts.only_long(context).select(*C.SERIES_KEYS, F.struct(*added).alias("of_long"))
     )

@@ -63,6 +63,16 @@ class SeriesCuts:
         schema = df.select(*C.SERIES_KEYS).schema
         return F.broadcast(df.sparkSession.createDataFrame(self.long, schema))
 
+    def whole_chunk(self, df: DataFrame) -> DataFrame:
+        """Add the chunk that rows of whole series carry; rows of long series get none.
+
+        Read off the key table instead of a constant, which Catalyst would fold out of the
+        join keys and thereby out of the partitioning.
+        """
+        keys = self.long_keys(df).withColumn("is_long", F.lit(True))
+        chunk = F.when(F.col("is_long"), -1).otherwise(0).cast("long")
+        return df.join(keys, C.SERIES_KEYS, "left").select(*df.columns, chunk.alias(CHUNK))
+
     def only_long(self, df: DataFrame) -> DataFrame:
         return df.join(self.long_keys(df), C.SERIES_KEYS, "left_semi")
 
@@ -79,18 +89,21 @@ class SeriesCuts:
         if self.tied_times:
             marked, id_cell = _cell(marked, "row_id", self.tied_ids)
             tied = F.col("start_time").isin(self.tied_times)
-            number = cell * (len(self.tied_ids) + 1) + F.when(tied, id_cell).otherwise(0)
+            number = cell * (len(self.tied_ids) + 2) + F.when(tied, id_cell).otherwise(0)
         chunk = F.when(F.col("is_long"), number + 1).otherwise(0).cast("long")
         return marked.withColumn(CHUNK, chunk).select(*df.columns, CHUNK)
 
 
 def _cell(df: DataFrame, column: str, edges: list[int]) -> tuple[DataFrame, Column]:
-    """Add the number of ``edges`` at or below ``column`` (binary search on the JVM)."""
+    """Add the number of ``edges`` at or below ``column``; a missing value comes last.
+
+    ``Bucketizer`` searches the edges by bisection on the JVM.
+    """
     seen, cell = f"{column}_seen", f"{column}_cell"
     splits = [-inf, *[float(e) for e in edges], inf]
     bucketizer = Bucketizer(splits=splits, inputCol=seen, outputCol=cell, handleInvalid="keep")
     df = bucketizer.transform(df.withColumn(seen, F.col(column).cast("double")))
-    return df, F.col(cell).cast("long")
+    return df, F.coalesce(F.col(cell).cast("long"), F.lit(len(edges) + 1))
 
 
 def _quantiles(df: DataFrame, column: str, pieces: int) -> list[int]:
@@ -146,7 +159,7 @@ def find_cuts(
 
 
 def _neighbour_rows(
-    tagged: DataFrame, carried: list[str], back: int, ahead: int
+    df: DataFrame, cuts: SeriesCuts, carried: list[str], back: int, ahead: int
 ) -> DataFrame:
     """Copies of the rows just before and just after every chunk of a long series.
 
@@ -154,7 +167,8 @@ def _neighbour_rows(
     them with a group limit before the shuffle.
     """
     columns = [*C.SERIES_ORDER, *[c for c in carried if c not in C.SERIES_ORDER]]
-    rows = tagged.where(F.col(CHUNK) > 0).select(*C.SERIES_KEYS, CHUNK, F.struct(*columns).alias("row"))
+    long_rows = cuts.tag(cuts.only_long(df.select(*C.SERIES_KEYS, *columns)))
+    rows = long_rows.select(*C.SERIES_KEYS, CHUNK, F.struct(*columns).alias("row"))
     order = [F.col(f"row.{c}").asc_nulls_last() for c in C.SERIES_ORDER]
     backwards = [F.col(f"row.{c}").desc_nulls_first() for c in C.SERIES_ORDER]
     inside = W.partitionBy(*C.SERIES_KEYS, CHUNK)
@@ -218,7 +232,7 @@ def with_series_columns(
     tagged = cuts.tag(df)
     if not cuts:
         return tagged.withColumns(build(series_window()))
-    copies = _neighbour_rows(tagged, carried, back, ahead)
+    copies = _neighbour_rows(df, cuts, carried, back, ahead)
     return (
         tagged.withColumn("is_copy", F.lit(False))
         .unionByName(copies.withColumn("is_copy", F.lit(True)), allowMissingColumns=True)

@@ -70,7 +70,7 @@ def _mixed(spark, tied):
     rng = random.Random(7)
     rows = []
     for i in range(600):
-        t = 500 if tied and i % 3 else rng.randrange(1000)
+        t = 500 if tied and i % 3 else None if i % 50 == 0 else rng.randrange(1000)
         rows.append((9, 1, t, i, rng.random(), rng.random(), rng.random()))
     for i in range(600, 1200):
         rows.append((i % 60, 0, rng.randrange(1000), i, rng.random(), rng.random(), rng.random()))
