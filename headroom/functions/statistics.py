@@ -95,7 +95,7 @@ def two_sided_p(r: Column, n: Column) -> Column:
     steps = F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
     series = F.aggregate(steps, start, add, lambda state: state["total"])
     inside = F.when(odd, F.lit(2 / pi) * (angle + sine * series)).otherwise(sine * series)
-    return F.when(dof > 0, F.greatest(F.lit(0.0), 1 - inside))
+    return F.when((dof > 0) & r.isNotNull(), F.greatest(F.lit(0.0), 1 - inside))
 
 
 def correlation_summary(rows: DataFrame, x: str, y: str) -> DataFrame:

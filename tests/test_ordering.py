@@ -1,0 +1,151 @@
+"""Global order operators against a plain sort."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from headroom import contracts as C
+from headroom.operators import ordering, policy
+
+SCHEMA = "start_time long, collection_id long, instance_index long, row_id long, actual_cpu double"
+
+
+def table(spark, n, times, seed=1):
+    rng = random.Random(seed)
+    rows = [
+        (rng.choice(times), rng.randrange(4), rng.randrange(2), i, round(rng.random(), 4))
+        for i in range(n)
+    ]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, SCHEMA).repartition(7), sorted(rows)
+
+
+TIMES = {
+    "spread": list(range(-(2**40), 2**40, 2**31 + 7)),
+    "few": [0, 300, 600, 900],
+    "one": [5],
+    "extreme": [-(2**63), -1, 0, 2**63 - 1],
+}
+
+
+@pytest.fixture(params=[0, 20, 50_000])
+def final_sort(request, monkeypatch):
+    """Small limits make the search descend through every column."""
+    monkeypatch.setattr(ordering, "FINAL_SORT_ROWS", request.param)
+    monkeypatch.setattr(ordering, "HISTOGRAM_BITS", 3 if request.param < 100 else 12)
+
+
+@pytest.mark.parametrize("times", TIMES)
+def test_keys_at_equals_sorting(spark, final_sort, times):
+    df, rows = table(spark, 200, TIMES[times])
+    df = df.persist()
+    wanted = [1, 77, 200]
+    found = ordering.keys_at(df, C.TIME_ORDER, wanted)
+    assert found == {k: rows[k - 1][:4] for k in wanted}
+    df.unpersist()
+
+
+def test_positions_outside_the_table_are_refused(spark):
+    df, _ = table(spark, 10, [1, 2])
+    for bad in (0, 11):
+        with pytest.raises(ValueError):
+            ordering.keys_at(df, C.TIME_ORDER, [bad])
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 99, 130])
+def test_time_split_is_exact_among_ties(spark, n):
+    df, rows = table(spark, n, [0, 300, 300, 300, 600])
+    split = ordering.time_split(df)
+    train = {r["row_id"] for r in split.train.collect()}
+    test = {r["row_id"] for r in split.test.collect()}
+    cut = int(n * 0.8)
+    assert train == {r[3] for r in rows[:cut]}
+    assert test == {r[3] for r in rows[cut:]}
+    assert (split.train_rows, split.test_rows) == (cut, n - cut)
+
+
+def test_split_of_an_empty_table(spark):
+    df, _ = table(spark, 0, [1])
+    split = ordering.time_split(df)
+    assert split.train.count() == split.test.count() == 0
+
+
+@pytest.mark.parametrize("n", [10, 11, 12, 13])
+def test_expanding_folds(spark, n):
+    df, rows = table(spark, n, [0, 1, 2])
+    folds = ordering.expanding_folds(df)
+    block = n // 4
+    for k, fold in enumerate(folds):
+        begin = n - (3 - k) * block
+        assert {r["row_id"] for r in df.where(fold.train).collect()} == {r[3] for r in rows[:begin]}
+        assert {r["row_id"] for r in df.where(fold.test).collect()} == {
+            r[3] for r in rows[begin : begin + block]
+        }
+        assert (fold.train_rows, fold.test_rows) == (begin, block)
+
+
+def test_too_few_rows_for_folds(spark):
+    df, _ = table(spark, 3, [0, 1])
+    with pytest.raises(ValueError):
+        ordering.expanding_folds(df)
+
+
+def test_fold_labels(spark):
+    df, rows = table(spark, 8, list(range(100)))
+    labelled = ordering.label_folds(df, ordering.expanding_folds(df)).orderBy(*C.TIME_ORDER)
+    assert [r["fold1"] for r in labelled.collect()] == ["train"] * 2 + ["test"] * 2 + [None] * 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 60, 150, 500])
+def test_first_rows(spark, n):
+    df, rows = table(spark, 150, [0, 300])
+    got = ordering.first_rows(df, n, C.TIME_ORDER)
+    assert sorted(map(tuple, got.collect())) == rows[:n]
+
+
+def test_cut_reaches_the_parquet_scan(spark, tmp_path):
+    df, _ = table(spark, 500, list(range(1000)))
+    df.write.parquet(str(tmp_path / "t"))
+    split = ordering.time_split(spark.read.parquet(str(tmp_path / "t")))
+    plan = split.test._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(start_time" in plan or "GreaterThan(start_time" in plan
+    assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 50])
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_reactive_global_equals_plain_shift(spark, partitions, coalesce):
+    df, rows = table(spark, 300, [0, 300, 600])
+    actual = [r[4] for r in rows]
+    supply = [actual[0], *actual[:-1]]
+    keys = {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.enabled": coalesce,
+    }
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = policy.reactive_global(df).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    violations = sum(a > s for a, s in zip(actual, supply))
+    surplus = sum(max(s - a, 0) for a, s in zip(actual, supply))
+    assert got["sla_violation_rate"] == pytest.approx(violations / 300)
+    assert got["over_provision_cost"] == pytest.approx(surplus / sum(actual))
+
+
+def test_reactive_first_row_is_provisioned_with_itself(spark):
+    df = spark.createDataFrame([(0, 1, 0, 0, 0.7)], SCHEMA)
+    for f in (policy.reactive_global, policy.reactive_per_series):
+        assert tuple(f(df).first()) == (0.0, 0.0)
+
+
+def test_raw_rows_never_meet_in_one_task(spark):
+    df, _ = table(spark, 50, [0, 300])
+    plan = policy.reactive_global(df)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("SinglePartition") :]
+    # what reaches the single partition has been aggregated to one row per range
+    assert below.index("HashAggregate") < below.index("Window")

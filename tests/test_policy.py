@@ -1,0 +1,159 @@
+"""Policy arithmetic, edge cases and the accuracy study."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from headroom import contracts as C
+from headroom.operators import chartdata, policy
+from headroom.operators.series import find_cuts
+
+PRED = "model string, actual_cpu double, predicted_cpu double, resource_request_cpu double"
+
+
+def outcome(spark, rows, tau=0.7):
+    df = spark.createDataFrame([("m", *r) for r in rows], PRED)
+    r = policy.simulate_policy(df, tau).first()
+    return r["sla_violation_rate"], r["over_provision_cost"]
+
+
+def test_prediction_at_the_trigger_level_does_not_scale_out(spark):
+    # 0.5 * 0.8 == 0.4 exactly: capacity 0.8 stays, so 0.9 violates
+    assert outcome(spark, [(0.9, 0.4, 0.8)], 0.5) == (1.0, 0.0)
+    # just above: provisioned 0.41 * 1.1
+    assert outcome(spark, [(0.44, 0.41, 0.8)], 0.5)[0] == 0.0
+
+
+@pytest.mark.parametrize("capacity", [None, 0.0, -3.0, float("nan")])
+def test_unusable_capacity_becomes_one(spark, capacity):
+    assert outcome(spark, [(0.25, 0.1, capacity)]) == (0.0, pytest.approx(3.0))
+
+
+def test_missing_capacity_column_becomes_one(spark):
+    df = spark.createDataFrame([("m", 0.5, 0.1)], "model string, actual_cpu double, predicted_cpu double")
+    assert policy.simulate_policy(df, 0.7).first()["over_provision_cost"] == pytest.approx(1.0)
+
+
+def test_exact_supply_is_neither_violation_nor_surplus(spark):
+    assert outcome(spark, [(0.5, 0.0, 0.5)]) == (0.0, 0.0)
+
+
+def test_no_surplus_costs_nothing(spark):
+    assert outcome(spark, [(2.0, 0.0, 1.0), (3.0, 0.0, 1.0)]) == (1.0, 0.0)
+
+
+def test_no_demand_gives_null_cost(spark):
+    assert outcome(spark, [(0.0, 0.0, 1.0)]) == (0.0, None)
+
+
+def test_cost_divides_by_all_demand(spark):
+    # surplus 0.5 on the first row only, demand 0.5 + 2.0
+    assert outcome(spark, [(0.5, 0.0, 1.0), (2.0, 0.0, 1.0)])[1] == pytest.approx(0.2)
+
+
+def test_grid_equals_single_thresholds(spark):
+    df = spark.createDataFrame(
+        [("a" if i % 2 else "b", (i * 7 % 10) / 10, (i * 3 % 10) / 10, (i % 5) / 4) for i in range(60)], PRED
+    )
+    grid = {(r["model"], r["threshold"]): tuple(r)[2:] for r in policy.policy_grid(df).collect()}
+    assert len(grid) == 2 * len(C.THRESHOLDS)
+    for tau in C.THRESHOLDS:
+        for r in policy.simulate_policy(df, tau).collect():
+            assert grid[(r["model"], tau)] == pytest.approx(tuple(r)[2:])
+
+
+def test_less_supply_never_lowers_the_violation_rate(spark):
+    df = spark.createDataFrame([("m", i / 40, (39 - i) / 40, 0.6) for i in range(40)], PRED)
+    rates = [
+        policy.policy_grid(df, (0.5,), margin).first()["sla_violation_rate"] for margin in (1.5, 1.1, 0.8, 0.2)
+    ]
+    assert rates == sorted(rates)
+
+
+def test_grid_is_one_scan_and_one_shuffle(spark):
+    df = spark.createDataFrame([("m", 0.1, 0.2, 0.3)], PRED)
+    plan = policy.policy_grid(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_reactive_per_series_is_independent_of_cuts(spark):
+    rows = [(t, 9, 0, t, (t * 37 % 101) / 100) for t in range(300)]
+    rows += [(t, t % 30, 1, 1000 + t, (t * 53 % 97) / 100) for t in range(300)]
+    df = spark.createDataFrame(
+        rows, "start_time long, collection_id long, instance_index long, row_id long, actual_cpu double"
+    )
+    cuts = find_cuts(df, floor=25, factor=0.01)
+    assert cuts
+    assert tuple(policy.reactive_per_series(df, cuts).first()) == pytest.approx(
+        tuple(policy.reactive_per_series(df).first())
+    )
+
+
+RESULTS = "model string, threshold double, sla_violation_rate double, over_provision_cost double"
+
+
+def test_study_drops_models_without_accuracy(spark):
+    results = spark.createDataFrame(
+        [(m, tau, 0.1 * i, 1.0) for i, m in enumerate(["a", "b", C.BASELINE_MODEL]) for tau in C.THRESHOLDS], RESULTS
+    )
+    metrics = spark.createDataFrame([("a", 0.5), ("b", 0.9)], "model string, r2 double")
+    rows, summary = policy.accuracy_violation_study(results, metrics)
+    assert {r["model"] for r in rows.collect()} == {"a", "b"}
+    assert summary.first().asDict() == {
+        "pearson_r": pytest.approx(1.0), "pearson_p": 1.0, "spearman_r": pytest.approx(1.0), "spearman_p": None,
+    }
+
+
+def test_curves_rise_by_violation_rate_then_threshold(spark):
+    results = spark.createDataFrame([("m", 0.9, 0.1, 3.0), ("m", 0.5, 0.2, 1.0), ("m", 0.6, 0.1, 2.0)], RESULTS)
+    curve = chartdata.tradeoff_curves(results).orderBy("curve_pos").collect()
+    assert [r["threshold"] for r in curve] == [0.6, 0.9, 0.5]
+
+
+def test_top_features_break_ties_by_name(spark):
+    rows = spark.createDataFrame(
+        [("m", "b", 0.4), ("m", "a", 0.4), ("m", "c", 0.2), ("other", "z", 1.0)],
+        "model string, feature string, importance double",
+    )
+    top = chartdata.top_features(rows, "m", 2).orderBy("rank").collect()
+    assert [(r["feature"], r["rank"]) for r in top] == [("a", 1), ("b", 2)]
+    assert top[0]["axis_max"] == pytest.approx(0.48)
+
+
+TRACE = "collection_id long, instance_index long, start_time long, row_id long, actual_cpu double, predicted_cpu double"
+
+
+def trace_rows(key, n):
+    return [(*key, 60_000_000 * t, key[0] * 1000 + t, float(t), 0.0) for t in range(n)]
+
+
+def test_busiest_tie_goes_to_the_smallest_key(spark):
+    df = spark.createDataFrame(trace_rows((2, 0), 6) + trace_rows((1, 1), 6) + trace_rows((3, 0), 2), TRACE)
+    assert tuple(chartdata.busiest_series(df).first()) == (1, 1, 6)
+    assert [r["t_min"] for r in chartdata.series_trace(df).collect()] == [0, 1, 2, 3, 4, 5]
+    assert chartdata.series_trace(df, n=5).count() == 5
+    assert chartdata.one_series(df, 3, 0).count() == 2
+
+
+def test_short_trace_is_empty(spark):
+    df = spark.createDataFrame(trace_rows((1, 0), 4), TRACE)
+    assert chartdata.series_trace(df).count() == 0
+    assert chartdata.series_trace(df.limit(0)).count() == 0
+
+
+def _hash(row_id, seed):
+    xxhash = pytest.importorskip("xxhash")
+    first = xxhash.xxh64_intdigest(row_id.to_bytes(8, "little", signed=True), 42)
+    value = xxhash.xxh64_intdigest(seed.to_bytes(4, "little", signed=True), first)
+    return value - 2**64 if value >= 2**63 else value
+
+
+@pytest.mark.parametrize("seed", [42, 7])
+def test_sample_takes_the_smallest_hashes(spark, seed):
+    df = spark.range(1000).select(F.col("id").alias("row_id"))
+    got = sorted(r["row_id"] for r in chartdata.uniform_sample(df, 120, seed).collect())
+    assert got == sorted(sorted(range(1000), key=lambda i: _hash(i, seed))[:120])
+
+
+def test_sample_of_a_smaller_table_is_the_table(spark):
+    df = spark.range(50).select(F.col("id").alias("row_id"))
+    assert chartdata.uniform_sample(df, 120).count() == 50

@@ -1,0 +1,102 @@
+"""Accuracy and correlation statistics against known values."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from headroom.functions import statistics as st
+from headroom.operators import chartdata
+
+XY = "model string, r2 double, sla_violation_rate double"
+
+
+def rows(spark, xs, ys):
+    return spark.createDataFrame([(f"m{i}", x, y) for i, (x, y) in enumerate(zip(xs, ys))], XY)
+
+
+def summary(spark, xs, ys):
+    return st.correlation_summary(rows(spark, xs, ys), "r2", "sla_violation_rate").first()
+
+
+def test_metrics(spark):
+    df = spark.createDataFrame([("m", 1.0, 1.5), ("m", 2.0, 2.0), ("m", 4.0, 3.0)], "model string, actual_cpu double, predicted_cpu double")
+    r = st.regression_metrics(df).first()
+    assert r["r2"] == pytest.approx(1 - 1.25 / (14 / 3))
+    assert r["mae"] == pytest.approx(0.5)
+    assert r["rmse"] == pytest.approx(math.sqrt(1.25 / 3))
+
+
+def test_metrics_agree_with_the_mllib_evaluator(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    df = spark.createDataFrame([("m", float(i % 7), i / 10) for i in range(50)], "model string, actual_cpu double, predicted_cpu double")
+    r = st.regression_metrics(df).first()
+    for name in ("r2", "mae", "rmse"):
+        judge = RegressionEvaluator(labelCol="actual_cpu", predictionCol="predicted_cpu", metricName=name)
+        assert r[name] == pytest.approx(judge.evaluate(df))
+
+
+def test_constant_actuals_have_no_r2(spark):
+    df = spark.createDataFrame([("m", 1.0, 1.5), ("m", 1.0, 2.0)], "model string, actual_cpu double, predicted_cpu double")
+    assert st.regression_metrics(df).first()["r2"] is None
+
+
+@pytest.mark.parametrize("n, expected", [(7, 0.154377), (8, 0.115840)])
+def test_p_value(spark, n, expected):
+    p = spark.range(1).select(st.two_sided_p(F.lit(0.6), F.lit(n))).first()[0]
+    assert p == pytest.approx(expected, abs=1e-6)
+
+
+def _t_tail(r, n):
+    """Numeric integral of the t density, both tails."""
+    dof = n - 2
+    t = abs(r) * math.sqrt(dof / (1 - r * r))
+    scale = math.gamma((dof + 1) / 2) / (math.sqrt(dof * math.pi) * math.gamma(dof / 2))
+    steps = 20_000
+    h = t / steps
+    density = lambda x: scale * (1 + x * x / dof) ** (-(dof + 1) / 2)
+    inner = sum((4 if i % 2 else 2) * density(i * h) for i in range(1, steps))
+    return 1 - 2 * (density(0) + inner + density(t)) * h / 3
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 12, 31])
+@pytest.mark.parametrize("r", [-0.9, 0.0, 0.35])
+def test_p_value_equals_the_integral(spark, n, r):
+    p = spark.range(1).select(st.two_sided_p(F.lit(r), F.lit(n))).first()[0]
+    assert p == pytest.approx(_t_tail(r, n), abs=1e-9)
+
+
+def test_perfect_correlation(spark):
+    r = summary(spark, [1.0, 2.0, 3.0, 4.0], [2.0, 4.0, 6.0, 8.0])
+    assert r["pearson_r"] == pytest.approx(1.0) and r["pearson_p"] == pytest.approx(0.0, abs=1e-7)
+    assert r["spearman_r"] == pytest.approx(1.0) and r["spearman_p"] == pytest.approx(0.0, abs=1e-7)
+
+
+@pytest.mark.parametrize("xs, ys", [([1.0] * 4, [1.0, 2.0, 3.0, 4.0]), ([1.0, 2.0, 3.0, 4.0], [0.1] * 4), ([], [])])
+def test_constant_or_empty_columns_give_null(spark, xs, ys):
+    r = summary(spark, xs, ys)
+    assert [r[c] for c in ("pearson_r", "pearson_p", "spearman_r", "spearman_p")] == [None] * 4
+
+
+def test_ties_share_their_mean_rank(spark):
+    df = rows(spark, [0.5, 0.5, 0.9, 0.1], [0.0] * 4)
+    got = df.select("r2", st.average_rank("r2").alias("rank")).collect()
+    assert sorted(map(tuple, got)) == [(0.1, 1.0), (0.5, 2.5), (0.5, 2.5), (0.9, 4.0)]
+
+
+def test_trend_line(spark):
+    line = chartdata.trend_line(rows(spark, [0.0, 1.0, 2.0], [1.0, 3.0, 5.0])).orderBy("point").collect()
+    assert len(line) == 100
+    assert (line[0]["x"], line[0]["y"]) == pytest.approx((0.0, 1.0))
+    assert (line[99]["x"], line[99]["y"]) == pytest.approx((2.0, 5.0))
+
+
+def test_no_trend_line_through_one_point(spark):
+    assert chartdata.trend_line(rows(spark, [0.3], [0.1])).count() == 0
+
+
+def test_chart_points_skip_incomplete_models(spark):
+    points = chartdata.accuracy_chart(rows(spark, [0.1, None, 0.9, 0.4], [0.5, 0.4, None, 0.2])).collect()
+    assert {p["model"] for p in points} == {"m0", "m3"}
+    assert points[0]["p_label"] == "p = 1.000"
