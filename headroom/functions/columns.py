@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import types as T
 
 from headroom import contracts as C
 
+HOUR_US = 3_600_000_000
+DAY_US = 24 * HOUR_US
+
 
 def present(df: DataFrame, wanted: list[str]) -> list[str]:
     """The names of ``wanted`` that ``df`` has, in the order asked for."""
@@ -78,17 +82,40 @@ def element_or_null(array: str | Column, index: int) -> Column:
     return F.get(array, F.lit(index)).cast("double")
 
 
-def trace_timestamp(offset_us: str, epoch: str = C.TRACE_EPOCH) -> Column:
+def trace_timestamp(offset_us: str | Column, epoch: str = C.TRACE_EPOCH) -> Column:
     """Zone-free UTC timestamp of a microsecond offset from ``epoch``."""
-    return F.expr(f"timestampadd(MICROSECOND, {offset_us}, TIMESTAMP_NTZ'{epoch}')")
+    start = F.lit(epoch).cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", offset_us, start)
+
+
+def local_micros(
+    offset_us: str | Column, zone: str = C.CELL_ZONE, epoch: str = C.TRACE_EPOCH
+) -> Column:
+    """Wall-clock time in ``zone`` as microseconds since 1970; no session zone involved.
+
+    ``from_utc_timestamp`` shifts the microseconds by the zone's offset at that instant and
+    resolves the zone once per task, where ``convert_timezone`` does so once per row.
+    """
+    offset = F.col(offset_us) if isinstance(offset_us, str) else offset_us
+    since_1970 = int(datetime.fromisoformat(epoch).replace(tzinfo=UTC).timestamp()) * 1_000_000
+    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(offset + since_1970), zone))
 
 
 def local_time(
-    offset_us: str, zone: str = C.CELL_ZONE, epoch: str = C.TRACE_EPOCH
+    offset_us: str | Column, zone: str = C.CELL_ZONE, epoch: str = C.TRACE_EPOCH
 ) -> Column:
-    """Wall-clock time in ``zone``; independent of the session time zone."""
-    utc = trace_timestamp(offset_us, epoch)
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    """Wall-clock time in ``zone`` as a zone-free timestamp."""
+    return trace_timestamp(local_micros(offset_us, zone, epoch), "1970-01-01")
+
+
+def hour_of_day(local_us: Column) -> Column:
+    """Hour 0 to 23 of a wall-clock time given in microseconds since 1970."""
+    return F.floor(F.pmod(local_us, F.lit(DAY_US)) / HOUR_US).cast("int")
+
+
+def day_of_week(local_us: Column) -> Column:
+    """Weekday of such a time, Monday = 0; 1970-01-01 was a Thursday."""
+    return F.floor(F.pmod(local_us + 3 * DAY_US, F.lit(7 * DAY_US)) / DAY_US).cast("int")
 
 
 def minutes_between(later: Column, earlier: Column) -> Column:

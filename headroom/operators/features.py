@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from headroom import contracts as C
 from headroom.functions.columns import (
+    day_of_week,
     element_or_null,
+    hour_of_day,
     is_filled,
-    local_time,
+    local_micros,
+    present,
     select_present,
     with_default,
-    present,
 )
 from headroom.operators.context import events_context, join_context
 from headroom.operators.series import CHUNK, SeriesCuts, find_cuts, with_series_columns
@@ -30,8 +32,8 @@ def add_cpu_percentiles(df: DataFrame) -> DataFrame:
 
 def add_calendar(df: DataFrame, zone: str = C.CELL_ZONE, epoch: str = C.TRACE_EPOCH) -> DataFrame:
     """``hour_of_day`` and ``day_of_week`` (Monday = 0) on the cell's wall clock."""
-    local = local_time("start_time", zone, epoch)
-    return df.withColumns({"hour_of_day": F.hour(local), "day_of_week": F.weekday(local)})
+    local = local_micros("start_time", zone, epoch)
+    return df.withColumns({"hour_of_day": hour_of_day(local), "day_of_week": day_of_week(local)})
 
 
 def lag_columns(w: WindowSpec) -> dict[str, Column]:

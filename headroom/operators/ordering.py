@@ -11,6 +11,8 @@ Two tools cover every global-order operator:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -77,37 +79,54 @@ def keys_at(
         return {}
     # The first pass is the only full one; all positions share it.
     cells = _histogram(df, order[0], size.low, size.high)
-    found = {}
+    wanted = {}
     for position in sorted(set(positions)):
         cell, inner = _locate(cells, position)
-        found[position] = _descend(df, order, cell, inner)
-    return found
-
-
-def _descend(df: DataFrame, order: list[str], cell, position: int) -> tuple:
+        wanted[position] = _narrow(df, order, cell, inner, {})
+    ranges = list(dict.fromkeys(ranges for ranges, _ in wanted.values()))
+    rows = _rows_at(df, order, ranges, [place for _, place in wanted.values()])
+    return {
+        position: rows[ranges.index(found), place]
+        for position, (found, place) in wanted.items()
+    }
+
+
+def _narrow(
+    df: DataFrame, order: list[str], cell, position: int, fixed: dict[str, tuple]
+) -> tuple[tuple, int]:
+    """Column ranges that hold the wanted row and few others, and its place among them."""
     column, rest = order[0], order[1:]
     while cell["rows"] > FINAL_SORT_ROWS and cell["low"] < cell["high"]:
         cell, position = _locate(
             _histogram(df, column, cell["low"], cell["high"]), position
         )
-    if cell["low"] == cell["high"]:
-        value = cell["low"]
-        if not rest:
-            return (value,)
-        tied = df.where(F.col(column) == value)
-        if cell["rows"] > FINAL_SORT_ROWS:
-            size = extent(tied, rest[0])
-            inner, position = _locate(_histogram(tied, rest[0], size.low, size.high), position)
-            return (value, *_descend(tied, rest, inner, position))
-    row = (
-        df.where(F.col(column).between(cell["low"], cell["high"]))
-        .select(*order)
-        .orderBy(*order)
-        .offset(position - 1)
-        .limit(1)
-        .first()
+    ranges = fixed | {column: (cell["low"], cell["high"])}
+    if cell["rows"] <= FINAL_SORT_ROWS or not rest:
+        return tuple((c, low, high) for c, (low, high) in ranges.items()), position
+    tied = df.where(F.col(column) == cell["low"])
+    size = extent(tied, rest[0])
+    inner, position = _locate(_histogram(tied, rest[0], size.low, size.high), position)
+    return _narrow(tied, rest, inner, position, ranges)
+
+
+def _rows_at(
+    df: DataFrame, order: list[str], ranges: list[tuple], places: list[int]
+) -> dict[tuple[int, int], tuple]:
+    """Rows at the wanted places of each range (the ranges are disjoint), in one job."""
+    inside = [
+        reduce(and_, [F.col(c).between(low, high) for c, low, high in bounds])
+        for bounds in ranges
+    ]
+    number = F.coalesce(*[F.when(test, i) for i, test in enumerate(inside)])
+    within = W.partitionBy("range").orderBy(*order)
+    found = (
+        df.where(reduce(or_, inside))
+        .select(*order, number.alias("range"))
+        .withColumn("place", F.row_number().over(within))
+        .where(F.col("place").isin(sorted(set(places))))
+        .collect()
     )
-    return tuple(row)
+    return {(r["range"], r["place"]): tuple(r[c] for c in order) for r in found}
 
 
 def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
@@ -169,9 +188,9 @@ def expanding_folds(
     block = size.rows // (folds + 1)
     if block == 0:
         raise ValueError(f"{folds} folds need at least {folds + 1} rows, got {size.rows}")
-    ends = [size.rows - block * k for k in range(folds, -1, -1)]
+    ends = [size.rows - block * k for k in range(folds, 0, -1)]
     keys = keys_at(df, order, ends, size)
-    upto = [precedes_or_is(order, keys[end]) for end in ends]
+    upto = [precedes_or_is(order, keys[end]) for end in ends] + [F.lit(True)]
     return [
         Fold(train=upto[i], test=~upto[i] & upto[i + 1], train_rows=ends[i], test_rows=block)
         for i in range(folds)

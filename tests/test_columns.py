@@ -35,6 +35,18 @@ def test_epoch_is_a_tuesday_evening_in_new_york(spark):
     assert calendar(spark, [0]) == [(20, 1)]
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "UTC"])
+def test_calendar_equals_the_timestamp_functions(spark, zone):
+    hours = spark.range(-3000, 9000, 7).select((F.col("id") * HOUR + F.col("id")).alias("start_time"))
+    ntz = F.convert_timezone(F.lit("UTC"), F.lit(zone), col.trace_timestamp("start_time"))
+    both = fe.add_calendar(hours, zone).select(
+        (F.col("hour_of_day") == F.hour(ntz)).alias("hour"),
+        (F.col("day_of_week") == F.weekday(ntz)).alias("day"),
+        (col.local_time("start_time", zone) == ntz).alias("time"),
+    )
+    assert both.distinct().collect() == [(True, True, True)]
+
+
 def test_clock_changes(spark):
     # 2019-03-10 06:30 UTC is 01:30 EST; an hour later the clock shows 03:30
     assert [h for h, _ in calendar(spark, [6 * HOUR + HOUR // 2, 7 * HOUR + HOUR // 2], epoch="2019-03-10")] == [1, 3]
