@@ -83,7 +83,8 @@ class SeriesCuts:
         keys = self.long_keys(df).withColumn("is_long", F.lit(True))
         marked = df.join(keys, C.SERIES_KEYS, "left")
         # A time too frequent for one chunk gets a cell of its own, cut further by row_id.
-        edges = sorted({*self.times, *self.tied_times, *[t + 1 for t in self.tied_times]})
+        after = [t + 1 for t in self.tied_times]
+        edges = _distinct_as_double([*self.times, *self.tied_times, *after])
         marked, cell = _cell(marked, "start_time", edges)
         number = cell
         if self.tied_times:
@@ -113,7 +114,10 @@ def _quantiles(df: DataFrame, column: str, pieces: int) -> list[int]:
 
 
 def _distinct_as_double(values: list[int]) -> list[int]:
-    """Ascending values whose double images differ (the cell search works on doubles)."""
+    """Ascending values whose double images differ: the cell search compares doubles.
+
+    Rounding to double keeps the order, so cells stay in order beyond 2**53 as well.
+    """
     return sorted({float(v): v for v in values}.values())
 
 
@@ -147,7 +151,7 @@ def find_cuts(
     pieces = ceil(sum(r["rows"] for r in largest if r["rows"] > limit) / limit)
     long_rows = cuts.only_long(df)
     marks = _quantiles(long_rows, "start_time", pieces)
-    tied = sorted({a for a, b in pairwise(marks) if a == b})
+    tied = sorted({a for a, b in pairwise(marks) if a == b and float(a) < float(a + 1)})
     tied_ids = (
         _quantiles(long_rows.where(F.col("start_time").isin(tied)), "row_id", pieces)
         if tied

@@ -20,7 +20,7 @@ from headroom.operators.context import events_context, join_context
 from headroom.operators.ordering import TimeSplit
 from headroom.operators.series import find_cuts
 from headroom.plans import jobs
-from headroom.plans.stand_ins import MODELS, REFERENCE_MODEL, stand_in_predictions
+from headroom.plans.stand_ins import REFERENCE_MODEL, stand_in_predictions
 from headroom.sources import adapters, sinks, tables
 from headroom.sources.staging import fresh_path, stage
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from headroom import contracts as C
 from headroom.functions.columns import nan_to_null, present
 from headroom.operators.ordering import first_rows
+from headroom.sources.staging import stage
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -27,6 +28,16 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).json(path)
 
 
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the ``row_id`` that breaks ties, numbered in file order if it has none.
+
+    Numbered rows are stored before use, so that every later pass sees the same numbers.
+    """
+    if "row_id" in df.columns:
+        return df
+    return stage(df.withColumn("row_id", F.monotonically_increasing_id()), name)
+
+
 def flatten_usage(source: DataFrame) -> DataFrame:
     """Unpack the usage structs; Catalyst reads only the nested fields that are used."""
     unpacked = {
@@ -67,7 +78,8 @@ def extract_usage(
     The cap keeps the first rows by time, so a capped extract is reproducible; ``None``
     keeps every row.
     """
-    rows = flatten_usage(source.where(F.col("start_time").between(first_us, last_us)))
+    period = source.where(F.col("start_time").between(first_us, last_us))
+    rows = flatten_usage(with_row_id(period, "usage"))
     return rows if row_cap is None else first_rows(rows, row_cap, C.TIME_ORDER)
 
 
@@ -79,8 +91,8 @@ def extract_instance_events(source: DataFrame, usage: DataFrame) -> DataFrame:
     collections with many events over several tasks.
     """
     seen = distinct_keys(usage, "collection_id")
-    events = flatten_instance_events(source)
-    return events.join(seen, "collection_id", "left_semi").select(*events.columns)
+    events = source.join(seen, "collection_id", "left_semi").select(*source.columns)
+    return flatten_instance_events(with_row_id(events, "instance_events"))
 
 
 def distinct_keys(df: DataFrame, column: str) -> DataFrame:

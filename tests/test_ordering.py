@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from headroom import contracts as C
 from headroom.operators import ordering, policy

@@ -49,6 +49,17 @@ def test_events_of_unseen_collections_are_left_out(spark):
     assert events.count() == source.where("collection_id = 3").count() > 0
 
 
+def test_rows_without_id_are_numbered_once(spark, tmp_path):
+    path = str(tmp_path / "usage")
+    adapters.usage_source(spark, SF_SMALL).drop("row_id").repartition(3).write.parquet(path)
+    rows = tables.extract_usage(spark.read.parquet(path), row_cap=100)
+    assert rows.count() == rows.select("row_id").distinct().count() == 100
+    events = adapters.instance_events_source(spark, SF_SMALL).drop("row_id")
+    numbered = tables.extract_instance_events(events, rows)
+    assert numbered.columns == C.INSTANCE_EVENTS.fieldNames()
+    assert numbered.count() == numbered.select("row_id").distinct().count() > 0
+
+
 def test_extracted_schemas(spark):
     usage = tables.extract_usage(adapters.usage_source(spark, SF_SMALL))
     assert dict(usage.dtypes) == {f.name: f.dataType.simpleString() for f in C.USAGE}
