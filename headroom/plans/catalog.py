@@ -49,6 +49,11 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def _as_double(df: DataFrame, *names: str) -> DataFrame:
+    """Integer columns with gaps, which clients represent differently, as doubles."""
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
+
+
 # --- Tables that queries start from ----------------------------------------------------
 
 
@@ -101,7 +106,8 @@ def one_model(spark: SparkSession, sf_dir: str, model: str = REFERENCE_MODEL) ->
 
 def usage_scan_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.extract_usage(adapters.usage_source(spark, sf_dir), row_cap=None)
-    return rows.drop("cpu_usage_distribution", "tail_cpu_usage_distribution")
+    scalars = rows.drop("cpu_usage_distribution", "tail_cpu_usage_distribution")
+    return _as_double(scalars, "alloc_collection_id", "alloc_instance_index")
 
 
 def usage_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +117,8 @@ def usage_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_for_seen_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = tables.extract_usage(adapters.usage_source(spark, sf_dir), row_cap=None)
-    return tables.extract_instance_events(adapters.instance_events_source(spark, sf_dir), seen)
+    source = adapters.instance_events_source(spark, sf_dir)
+    return _as_double(tables.extract_instance_events(source, seen), "alloc_collection_id")
 
 
 def machine_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +165,7 @@ def context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usage_rows(spark, sf_dir).withColumn("priority", F.col("machine_id"))
     joined = join_context(rows, context(spark, sf_dir))
     added = ["priority", "priority_evt", *[c for c in C.CONTEXT_COLUMNS if c != "priority"]]
-    return joined.select(*IDENTITY, *added)
+    return _as_double(joined.select(*IDENTITY, *added), "priority_evt", "scheduling_class")
 
 
 def features_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:

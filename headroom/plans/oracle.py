@@ -229,13 +229,19 @@ _OUTCOME = _round("sla_violation_rate", "over_provision_cost")
 _SURPLUS = "sum(greatest(supply - actual_cpu, 0.0::DOUBLE)) / sum(actual_cpu)"
 
 ORACLE = {
-    "usage_scan_7d": _with(["week_v"], f"SELECT {', '.join(_SCALARS)} FROM week_v"),
+    "usage_scan_7d": _with(
+        ["week_v"],
+        f"""SELECT {", ".join(_SCALARS)} FROM (SELECT * REPLACE (
+                CAST(alloc_collection_id AS DOUBLE) AS alloc_collection_id,
+                CAST(alloc_instance_index AS DOUBLE) AS alloc_instance_index) FROM week_v)""",
+    ),
     "usage_capped": _with(
         ["week_v"], f"SELECT {_KEEP}, avg_cpu FROM week_v ORDER BY {_ORDER} LIMIT {CAPPED_ROWS}"
     ),
     "events_for_seen_collections": _with(
         ["week_v", "ievents_v"],
-        "SELECT * FROM ievents_v WHERE collection_id IN (SELECT collection_id FROM week_v)",
+        """SELECT * REPLACE (CAST(alloc_collection_id AS DOUBLE) AS alloc_collection_id)
+           FROM ievents_v WHERE collection_id IN (SELECT collection_id FROM week_v)""",
     ),
     "machine_capacity": _with(["machine_v"], "SELECT * FROM machine_v WHERE type IN (0, 1)"),
     "schema_tolerant_select": _with(
@@ -256,7 +262,8 @@ ORACLE = {
     "context_join": _with(
         ["usage_v", "context_v"],
         """SELECT u.row_id, u.collection_id, u.instance_index, u.start_time,
-                  u.machine_id AS priority, c.priority AS priority_evt, c.scheduling_class,
+                  u.machine_id AS priority, CAST(c.priority AS DOUBLE) AS priority_evt,
+                  CAST(c.scheduling_class AS DOUBLE) AS scheduling_class,
                   c.resource_request_cpu, c.resource_request_memory
            FROM usage_v u LEFT JOIN context_v c
              ON u.collection_id = c.collection_id AND u.instance_index = c.instance_index""",

@@ -19,6 +19,8 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = contract.queries()[name](spark, SF_ORACLE)
+    frame = con.execute(contract.oracle_sql()[name]).df()
+    assert df.toPandas().dtypes.astype(str).to_dict() == frame.dtypes.astype(str).to_dict()
     names, wanted, extra, lacking = compare(df, con, contract.oracle_sql()[name])
     assert names == wanted
     assert not extra and not lacking, (len(extra), extra[:3], len(lacking), lacking[:3])
