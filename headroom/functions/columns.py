@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from headroom import contracts as C
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
+FLOATING = (T.DoubleType, T.FloatType)
 
 
 def present(df: DataFrame, wanted: list[str]) -> list[str]:
@@ -44,12 +44,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     NaN means "missing" in the source files.  Spark sorts NaN above every number and
     lets it poison averages, so it is replaced once, at ingest.
     """
-    floating = (T.DoubleType, T.FloatType)
-    return df.select(
+    return df.selectExpr(
         *[
-            F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
-            if isinstance(f.dataType, floating)
-            else F.col(f.name)
+            f"CASE WHEN NOT isnan(`{f.name}`) THEN `{f.name}` END AS `{f.name}`"
+            if isinstance(f.dataType, FLOATING)
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )
@@ -57,7 +56,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 def all_present(columns: list[str]) -> Column:
     """True when no listed column is NULL."""
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
 
 
 def is_filled(df: DataFrame, columns: list[str]) -> Column:
@@ -66,15 +65,10 @@ def is_filled(df: DataFrame, columns: list[str]) -> Column:
     Written as a conjunction of ``IS NOT NULL`` rather than ``dropna`` so that Catalyst
     sees each test: it can push them to scans and turn an outer join into an inner one.
     """
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-
-    def filled(name: str) -> Column:
-        test = F.col(name).isNotNull()
-        if isinstance(kinds[name], (T.DoubleType, T.FloatType)):
-            test = test & ~F.isnan(name)
-        return test
-
-    return reduce(lambda a, b: a & b, [filled(c) for c in columns], F.lit(True))
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, FLOATING)}
+    tests = [f"`{c}` IS NOT NULL" for c in columns]
+    tests += [f"NOT isnan(`{c}`)" for c in columns if c in floating]
+    return F.expr(" AND ".join(tests) or "true")
 
 
 def element_or_null(array: str | Column, index: int) -> Column:

@@ -236,7 +236,8 @@ ORACLE = {
                 CAST(alloc_instance_index AS DOUBLE) AS alloc_instance_index) FROM week_v)""",
     ),
     "usage_capped": _with(
-        ["week_v"], f"SELECT {_KEEP}, avg_cpu FROM week_v ORDER BY {_ORDER} LIMIT {CAPPED_ROWS}"
+        ["week_v"],
+        f"SELECT {_KEEP}, avg_cpu FROM week_v ORDER BY start_time, row_id LIMIT {CAPPED_ROWS}",
     ),
     "events_for_seen_collections": _with(
         ["week_v", "ievents_v"],

@@ -76,11 +76,12 @@ def extract_usage(
     """Usage rows that start within the period (both ends included), earliest first if capped.
 
     The cap keeps the first rows by time, so a capped extract is reproducible; ``None``
-    keeps every row.
+    keeps every row.  Keys of a series may be missing at this stage, so they play no part
+    in the order.
     """
     period = source.where(F.col("start_time").between(first_us, last_us))
     rows = flatten_usage(with_row_id(period, "usage"))
-    return rows if row_cap is None else first_rows(rows, row_cap, C.TIME_ORDER)
+    return rows if row_cap is None else first_rows(rows, row_cap, C.SERIES_ORDER)
 
 
 def extract_instance_events(source: DataFrame, usage: DataFrame) -> DataFrame:

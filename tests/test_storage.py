@@ -35,7 +35,7 @@ def test_period_includes_both_ends(spark):
 
 def test_row_cap_is_exact_and_earliest_first(spark):
     source = adapters.usage_source(spark, SF_SMALL)
-    full = tables.extract_usage(source, row_cap=None).orderBy(*C.TIME_ORDER).limit(100)
+    full = tables.extract_usage(source, row_cap=None).orderBy(*C.SERIES_ORDER).limit(100)
     capped = tables.extract_usage(source, row_cap=100)
     assert sorted(r["row_id"] for r in capped.collect()) == sorted(r["row_id"] for r in full.collect())
     assert tables.extract_usage(source).count() == 248
@@ -49,6 +49,13 @@ def test_events_of_unseen_collections_are_left_out(spark):
     assert events.count() == source.where("collection_id = 3").count() > 0
 
 
+def test_row_cap_counts_rows_without_series_key(spark):
+    source = adapters.usage_source(spark, SF_SMALL)
+    source = source.withColumn("collection_id", F.when(F.col("row_id") % 2 == 0, F.col("collection_id")))
+    source = source.withColumn("start_time", F.lit(5).cast("long"))
+    assert tables.extract_usage(source, row_cap=100).count() == 100
+
+
 def test_rows_without_id_are_numbered_once(spark, tmp_path):
     path = str(tmp_path / "usage")
     adapters.usage_source(spark, SF_SMALL).drop("row_id").repartition(3).write.parquet(path)
