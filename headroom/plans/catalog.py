@@ -82,7 +82,7 @@ def features_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged(spark, sf_dir, "features", features_clean)
+    return _staged(spark, sf_dir, "features", lambda *at: sinks.by_time(features_clean(*at)))
 
 
 def split(spark: SparkSession, sf_dir: str) -> TimeSplit:
