@@ -14,7 +14,7 @@ from itertools import pairwise
 from math import ceil, inf
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Observation, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +25,7 @@ from headroom.functions.columns import all_present
 CHUNK = "chunk"
 LONG_SERIES_FLOOR = 1_000_000
 LONG_SERIES_FACTOR = 2
+SAMPLES_PER_PIECE = 400
 
 
 def with_series_key(df: DataFrame) -> DataFrame:
@@ -107,10 +108,17 @@ def _cell(df: DataFrame, column: str, edges: list[int]) -> tuple[DataFrame, Colu
     return df, F.coalesce(F.col(cell).cast("long"), F.lit(len(edges) + 1))
 
 
-def _quantiles(df: DataFrame, column: str, pieces: int) -> list[int]:
+def _quantiles(df: DataFrame, column: str, pieces: int, rows: int) -> list[int]:
+    """Values that part ``df`` into about equal pieces, judged from a sample.
+
+    Like the samples a range partitioner takes, this one decides only where to cut; results
+    do not depend on it.  Its size grows with the number of pieces, not with the rows.
+    """
+    sampled = min(1.0, SAMPLES_PER_PIECE * pieces / rows)
+    seen = df if sampled == 1.0 else df.sample(sampled, seed=C.SEED)
     shares = [i / pieces for i in range(1, pieces)]
     accuracy = max(10_000, 20 * pieces)
-    return df.agg(F.percentile_approx(column, shares, accuracy)).first()[0]
+    return seen.agg(F.percentile_approx(column, shares, accuracy)).first()[0] or []
 
 
 def _distinct_as_double(values: list[int]) -> list[int]:
@@ -128,35 +136,34 @@ def find_cuts(
 ) -> SeriesCuts:
     """Look for series with more rows than ``max(floor, factor * rows / partitions)``.
 
-    One pass over the key columns with map-side partial counts; a second pass, over the
-    long series only, picks quantiles of their times as cutting points.
+    A table no larger than that needs no look.  Otherwise one pass counts rows per series
+    (key columns only, combined map-side), and only the counts above the limit, of which
+    there are at most ``partitions / factor``, reach the driver.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = Observation()
-    largest = (
+    rows = df.count()
+    limit = max(floor, ceil(factor * rows / partitions))
+    if rows <= limit:
+        return SeriesCuts(rows, limit)
+    found = (
         with_series_key(df)
         .groupBy(*C.SERIES_KEYS)
         .agg(F.count(F.lit(1)).alias("rows"))
-        .observe(seen, F.sum("rows").alias("rows"))
-        .orderBy(F.desc("rows"))
-        .limit(int(partitions / factor) + 1)
+        .where(F.col("rows") > limit)
         .collect()
     )
-    rows = seen.get["rows"] or 0
-    limit = max(floor, ceil(factor * rows / partitions))
-    long = [tuple(r[k] for k in C.SERIES_KEYS) for r in largest if r["rows"] > limit]
-    if not long:
+    if not found:
         return SeriesCuts(rows, limit)
-    cuts = SeriesCuts(rows, limit, long)
-    pieces = ceil(sum(r["rows"] for r in largest if r["rows"] > limit) / limit)
-    long_rows = cuts.only_long(df)
-    marks = _quantiles(long_rows, "start_time", pieces)
+    long = [tuple(r[k] for k in C.SERIES_KEYS) for r in found]
+    long_count = sum(r["rows"] for r in found)
+    pieces = ceil(long_count / limit)
+    long_rows = SeriesCuts(rows, limit, long).only_long(df)
+    marks = _quantiles(long_rows, "start_time", pieces, long_count)
     tied = sorted({a for a, b in pairwise(marks) if a == b and float(a) < float(a + 1)})
-    tied_ids = (
-        _quantiles(long_rows.where(F.col("start_time").isin(tied)), "row_id", pieces)
-        if tied
-        else []
-    )
+    tied_ids = []
+    if tied:
+        tied_rows = long_rows.where(F.col("start_time").isin(tied))
+        tied_ids = _quantiles(tied_rows, "row_id", pieces, long_count)
     return SeriesCuts(
         rows, limit, long, sorted(set(marks)), tied, _distinct_as_double(tied_ids)
     )

@@ -123,3 +123,14 @@ def test_window_features_take_one_shuffle_and_one_window(spark, capsys):
     assert plan.count("Exchange") == 1
     assert plan.count("Window [") + plan.count("+- Window") >= 1
     assert plan.count("Window ") == 1
+
+
+def test_cuts_from_a_sample_give_the_same_features(spark, monkeypatch):
+    monkeypatch.setattr("headroom.operators.series.SAMPLES_PER_PIECE", 5)
+    df = _mixed(spark, tied=True).persist()
+    cuts = find_cuts(df, floor=40, factor=0.01)
+    assert cuts
+    names = ["row_id", *C.LAG_FEATURES, "avg_cpu_roll_mean6", "avg_cpu_roll_std6", C.TARGET]
+    cut, whole = (fe.add_series_features(df, c).select(names).collect() for c in (cuts, WHOLE))
+    assert sorted(map(tuple, cut)) == sorted(map(tuple, whole))
+    df.unpersist()
