@@ -101,6 +101,8 @@ def _cell(df: DataFrame, column: str, edges: list[int]) -> tuple[DataFrame, Colu
 
     ``Bucketizer`` searches the edges by bisection on the JVM.
     """
+    if not edges:
+        return df, F.lit(0).cast("long")
     seen, cell = f"{column}_seen", f"{column}_cell"
     splits = [-inf, *[float(e) for e in edges], inf]
     bucketizer = Bucketizer(splits=splits, inputCol=seen, outputCol=cell, handleInvalid="keep")

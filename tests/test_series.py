@@ -134,3 +134,12 @@ def test_cuts_from_a_sample_give_the_same_features(spark, monkeypatch):
     cut, whole = (fe.add_series_features(df, c).select(names).collect() for c in (cuts, WHOLE))
     assert sorted(map(tuple, cut)) == sorted(map(tuple, whole))
     df.unpersist()
+
+
+def test_long_series_without_times_stays_whole(spark):
+    rows = [(1, 0, None, i, float(i), 0.0, 0.0) for i in range(60)]
+    df = frame(spark, rows)
+    cuts = find_cuts(df, floor=20, factor=0.01)
+    assert cuts.long == [(1, 0)] and not cuts.times
+    got = {r["row_id"]: r["avg_cpu_lag1"] for r in fe.add_lags(df, cuts).collect()}
+    assert got == {i: float(i - 1) if i else None for i in range(60)}
