@@ -131,14 +131,20 @@ def _distinct_as_double(values: list[int]) -> list[int]:
     return sorted({float(v): v for v in values}.values())
 
 
-def find_cuts(
-    df: DataFrame,
-    floor: int = LONG_SERIES_FLOOR,
-    factor: float = LONG_SERIES_FACTOR,
-) -> SeriesCuts:
-    """Look for series with more rows than ``max(floor, factor * rows / partitions)``.
+@dataclass(frozen=True)
+class FrequentKeys:
+    """Keys with more than ``limit`` rows each, and the rows they hold together."""
+
+    rows: int
+    limit: int
+    keys: list[tuple] = field(default_factory=list)
+    held: int = 0
+
 
-    A table no larger than that needs no look.  Otherwise one pass counts rows per series
+def frequent_keys(df: DataFrame, keys: list[str], floor: int, factor: float) -> FrequentKeys:
+    """Keys with more rows than ``max(floor, factor * rows / partitions)``.
+
+    A table no larger than that needs no look.  Otherwise one pass counts rows per key
     (key columns only, combined map-side), and only the counts above the limit, of which
     there are at most ``partitions / factor``, reach the driver.
     """
@@ -146,18 +152,29 @@ def find_cuts(
     rows = df.count()
     limit = max(floor, ceil(factor * rows / partitions))
     if rows <= limit:
-        return SeriesCuts(rows, limit)
+        return FrequentKeys(rows, limit)
     found = (
-        with_series_key(df)
-        .groupBy(*C.SERIES_KEYS)
+        df.where(all_present(keys))
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") > limit)
         .collect()
     )
-    if not found:
+    return FrequentKeys(
+        rows, limit, [tuple(r[k] for k in keys) for r in found], sum(r["rows"] for r in found)
+    )
+
+
+def find_cuts(
+    df: DataFrame,
+    floor: int = LONG_SERIES_FLOOR,
+    factor: float = LONG_SERIES_FACTOR,
+) -> SeriesCuts:
+    """Find the series that are too long for a task and where to cut them."""
+    found = frequent_keys(df, C.SERIES_KEYS, floor, factor)
+    rows, limit, long, long_count = found.rows, found.limit, found.keys, found.held
+    if not long:
         return SeriesCuts(rows, limit)
-    long = [tuple(r[k] for k in C.SERIES_KEYS) for r in found]
-    long_count = sum(r["rows"] for r in found)
     pieces = ceil(long_count / limit)
     long_rows = SeriesCuts(rows, limit, long).only_long(df)
     marks = _quantiles(long_rows, "start_time", pieces, long_count)

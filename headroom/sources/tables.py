@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from headroom import contracts as C
 from headroom.functions.columns import nan_to_null, present
 from headroom.operators.ordering import first_rows
+from headroom.operators.series import LONG_SERIES_FACTOR, LONG_SERIES_FLOOR, frequent_keys
 from headroom.sources.staging import stage
 
 
@@ -84,15 +85,31 @@ def extract_usage(
     return rows if row_cap is None else first_rows(rows, row_cap, C.SERIES_ORDER)
 
 
-def extract_instance_events(source: DataFrame, usage: DataFrame) -> DataFrame:
+def extract_instance_events(
+    source: DataFrame,
+    usage: DataFrame,
+    floor: int = LONG_SERIES_FLOOR,
+    factor: float = LONG_SERIES_FACTOR,
+) -> DataFrame:
     """Events of the collections that occur in ``usage``.
 
     A semi join: the collection ids stay on the executors, and distinct ids are formed
-    before they move.  Spark broadcasts them if they turn out small and otherwise splits
-    collections with many events over several tasks.
+    before they move.  Collections with too many events for a task are few (at most
+    ``partitions / factor``), so those are looked up in a broadcast table and their events
+    are not shuffled at all.
     """
-    seen = distinct_keys(usage, "collection_id")
-    events = source.join(seen, "collection_id", "left_semi").select(*source.columns)
+    key = ["collection_id"]
+    seen = distinct_keys(usage, *key)
+    frequent = frequent_keys(source, key, floor, factor).keys
+    if frequent:
+        schema = source.select(*key).schema
+        often = F.broadcast(source.sparkSession.createDataFrame(frequent, schema))
+        seen_often = F.broadcast(seen.join(often, key, "left_semi"))
+        rest = source.join(often, key, "left_anti").join(seen, key, "left_semi")
+        events = source.join(seen_often, key, "left_semi").unionByName(rest)
+    else:
+        events = source.join(seen, key, "left_semi")
+    events = events.select(*source.columns)
     return flatten_instance_events(with_row_id(events, "instance_events"))
 
 

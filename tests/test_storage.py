@@ -67,6 +67,18 @@ def test_rows_without_id_are_numbered_once(spark, tmp_path):
     assert numbered.count() == numbered.select("row_id").distinct().count() > 0
 
 
+def test_frequent_collections_are_not_shuffled(spark):
+    keys = [(7 if i % 3 else i % 40, i) for i in range(300)] + [(None, 900), (8, 901)]
+    source = spark.createDataFrame(keys, "collection_id long, row_id long")
+    source = source.withColumn("resource_request", F.struct(F.lit(0.1).alias("cpus"), F.lit(0.2).alias("memory")))
+    for wanted in ([7, 3, 3, 8, None], [3, 8], [99]):
+        usage = spark.createDataFrame([(w,) for w in wanted], "collection_id long")
+        got = tables.extract_instance_events(source, usage, floor=50, factor=0.01)
+        assert sorted(r["row_id"] for r in got.collect()) == [i for c, i in keys if c is not None and c in wanted]
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" in plan and "LeftAnti" in plan
+
+
 def test_extracted_schemas(spark):
     usage = tables.extract_usage(adapters.usage_source(spark, SF_SMALL))
     assert dict(usage.dtypes) == {f.name: f.dataType.simpleString() for f in C.USAGE}
