@@ -6,16 +6,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import bytebpe, decontaminate, secret_scan
+from headroom.llm import bytebpe, decontaminate, secret_scan, tokenfiles, toxicity
+from headroom.sources.staging import fresh_path
 
 #: Rank file of the byte-level BPE query; every executor reads it from its own installation.
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Tokenizer file of the token-file query, read the same way.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(key: str) -> F.Column:
+    return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 3 == 1
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    model = toxicity.train(toxicity.labelled_sample(docs, labels))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "tokens")
+    tokenfiles.write(table(spark, sf_dir, "documents"), folder, WORD_BPE, end=2)
+    return tokenfiles.summary(spark, folder)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +61,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op5_token_files": op5_token_files,
     "op6_secret_scan": op6_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
@@ -50,22 +73,22 @@ ORACLE: dict[str, str] = {}
 ORACLE["op9_decontamination"] = r"""
 WITH doc AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 item AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 windows AS (
-  SELECT DISTINCT item_id, size, array_to_string(list_slice(w, at, at + size - 1), ' ') AS run
-  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS at
+  SELECT DISTINCT item_id, size, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS run
+  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS pos
         FROM item WHERE len(w) > 0)),
 places AS (
-  SELECT doc_id, size, at, array_to_string(list_slice(w, at, at + size - 1), ' ') AS run
-  FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS at
+  SELECT doc_id, size, pos, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS run
+  FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS pos
         FROM doc, (SELECT DISTINCT size FROM windows))),
-hits AS (SELECT doc_id, at, size, item_id FROM places JOIN windows USING (size, run)),
+hits AS (SELECT doc_id, pos, size, item_id FROM places JOIN windows USING (size, run)),
 hit_words AS (
   SELECT doc_id, count(DISTINCT k) AS n_hit
-  FROM (SELECT doc_id, unnest(generate_series(at, at + size - 1)) AS k FROM hits) GROUP BY doc_id),
+  FROM (SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS k FROM hits) GROUP BY doc_id),
 hit_items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
