@@ -6,11 +6,10 @@ two numbers a coordinate, gives each its own rate, and its L1 term leaves most w
 that the model is a short list of coordinates and weights.
 
 Learning uses at most about ``SAMPLE_ROWS`` labelled rows, those with the smallest hashes.  They are
-dealt to ``shards`` groups; in each epoch every group continues from the common state over its own
-rows, and the states are averaged by coordinate in Spark.  One group, the default, follows the
-method's own order of updates and is more accurate; its size is bounded by the sample.  The driver
-sees coordinates only (at most ``2**bits``), never texts.  Scoring reads all rows in one pass without
-a shuffle.
+dealt to ``shards`` groups, each learns alone, and weights are averaged by coordinate in Spark.  One
+group, the default, follows the method's own order of updates and is more accurate; its size is
+bounded by the sample.  The driver sees weights that are not zero, never texts.  Scoring reads all
+rows in one pass without a shuffle.
 
 Null and empty texts have no features and get the score of the bias alone.  Without any labelled
 row, or with labels of one kind only, all scores are the share of toxic labels (0 if there are
@@ -87,54 +86,48 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     return texts.join(F.broadcast(known), "_key")
 
 
-def _epoch(bits: int, z: np.ndarray, n: np.ndarray, settings: tuple[float, float, float, float]):
+def _weights(z: np.ndarray, n: np.ndarray, bias: np.ndarray, settings: tuple[float, float, float, float]) -> np.ndarray:
+    """Weights that a state stands for; the bias is not held at zero."""
     alpha, beta, l1, l2 = settings
+    held = np.where(bias, 0.0, l1)
+    return np.where(np.abs(z) > held, (np.sign(z) * held - z) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
+
+
+def _learner(bits: int, epochs: int, settings: tuple[float, float, float, float]):
+    """FTRL-proximal over the rows of a group; yields the weights that are not zero, the bias last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z_, n_ = z.copy(), n.copy()
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
         rows.sort(key=lambda r: r[0])
-        touched = np.zeros(len(z_), dtype=bool)
-        for _, y, listed in rows:
-            at = np.append(listed.values.to_numpy(), len(z_) - 1)
-            own_z, own_n = z_[at], n_[at]
-            root = np.sqrt(own_n)
-            free = np.where(np.arange(len(at)) == len(at) - 1, 0.0, l1)  # the bias is not held at zero
-            w = np.where(np.abs(own_z) > free, (np.sign(own_z) * free - own_z) / ((beta + root) / alpha + l2), 0.0)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-            z_[at] = own_z + g - (np.sqrt(own_n + g * g) - root) / alpha * w
-            n_[at] = own_n + g * g
-            touched[at] = True
-        at = np.flatnonzero(touched)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(z_[at] - z[at]), pa.array(n_[at] - n[at])], names=["at", "z", "n"])
+        z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+        for _ in range(epochs if rows else 0):
+            for _, y, listed in rows:
+                at = np.append(listed.values.to_numpy(), len(z) - 1)
+                own_n = n[at]
+                w = _weights(z[at], own_n, at == len(z) - 1, settings)
+                g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                z[at] += g - (np.sqrt(own_n + g * g) - np.sqrt(own_n)) / settings[0] * w
+                n[at] += g * g
+        w = _weights(z, n, np.arange(len(z)) == len(z) - 1, settings)
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], names=["at", "w"])
 
     return run
 
 
 def train(sample: DataFrame, bits: int = BITS, shards: int = SHARDS, epochs: int = EPOCHS, settings=(ALPHA, BETA, L1, L2)) -> Model:
     """A model from rows of ``labelled_sample``."""
+    totals = sample.agg(F.count("y").alias("rows"), F.sum("y").alias("toxic")).first()
+    share = totals["toxic"] / totals["rows"] if totals["rows"] else 0.0
+    if share in (0.0, 1.0):
+        p = min(max(share, 1e-9), 1 - 1e-9)
+        return Model(bits, float(np.log(p / (1 - p))), np.empty(0, np.int64), np.empty(0))
     rows = sample.mapInArrow(_rows(bits, ["_order", "y"], "_text"), "_order long, y double, features array<int>")
-    rows = rows.repartition(shards, F.col("_order")).persist()
-    try:
-        share = rows.agg(F.avg("y")).first()[0]
-        if share is None or share in (0.0, 1.0):
-            p = min(max(share or 0.0, 1e-9), 1 - 1e-9)
-            return Model(bits, float(np.log(p / (1 - p))), np.empty(0, np.int64), np.empty(0))
-        z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-        for _ in range(epochs):
-            moved = rows.mapInArrow(_epoch(bits, z, n, settings), "at long, z double, n double")
-            # a coordinate's state moves by the mean over the shards that have it
-            step = moved.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
-            z[step["at"]] += step["z"]
-            n[step["at"]] += step["n"]
-    finally:
-        rows.unpersist()
-    alpha, beta, l1, l2 = settings
-    free = np.full(len(z), l1)
-    free[-1] = 0.0
-    w = np.where(np.abs(z) > free, (np.sign(z) * free - z) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
-    at = np.flatnonzero(w[:-1])
-    return Model(bits, float(w[-1]), at, w[at])
+    learned = rows.repartition(shards, F.col("_order")).mapInArrow(_learner(bits, epochs, settings), "at long, w double")
+    mean = learned.groupBy("at").agg((F.sum("w") / shards).alias("w")).toPandas()
+    at, w = mean["at"].to_numpy(), mean["w"].to_numpy()
+    bias = at == 1 << bits
+    return Model(bits, float(w[bias].sum()), at[~bias], w[~bias])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
