@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import bytebpe, chat, decontaminate, secret_scan, tokenfiles, toxicity
+from headroom.llm import bytebpe, chat, decontaminate, secret_scan, substrings, tokenfiles, toxicity
 from headroom.sources.staging import fresh_path
 
 #: Rank file of the byte-level BPE query; every executor reads it from its own installation.
@@ -59,6 +59,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -83,6 +87,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_token_files": op5_token_files,
     "op6_secret_scan": op6_secret_scan,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -131,3 +136,21 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+ORACLE["op7_substring_dedup"] = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+places AS (
+  SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 12), ' ') AS run
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS pos FROM doc)),
+least AS (SELECT run, min(doc_id) AS least FROM places GROUP BY run HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, k
+  FROM (SELECT doc_id, unnest(generate_series(pos, pos + 12)) AS k FROM places JOIN least USING (run) WHERE doc_id > least)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS k FROM doc),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS kept, count(*) AS n_kept
+  FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
