@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import bytebpe, chat, decontaminate, secret_scan, substrings, tokenfiles, toxicity
+from headroom.llm import bytebpe, chat, decontaminate, quality, sampling, secret_scan, substrings, tokenfiles, toxicity
 from headroom.sources.staging import fresh_path
 
 #: Rank file of the byte-level BPE query; every executor reads it from its own installation.
@@ -26,11 +26,17 @@ def held_out(key: str) -> F.Column:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
-    model = toxicity.train(toxicity.labelled_sample(docs, labels))
+    model = toxicity.train(sampling.labelled_sample(docs, labels, "toxic", toxicity.SAMPLE_ROWS))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -84,6 +90,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op5_token_files": op5_token_files,
     "op6_secret_scan": op6_secret_scan,

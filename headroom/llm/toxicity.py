@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headroom.llm import words
 
@@ -74,18 +75,6 @@ def _rows(bits: int, carry: list[str], text: str):
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Texts of at most about ``rows`` labelled rows, with ``y`` and the hash that orders them."""
-    known = labels.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("y"), F.xxhash64(F.col(key)).alias("_order")).where("y is not null and _key is not null")
-    count = known.count()
-    if count > rows:
-        # the share of the hash range that holds the rows wanted
-        top = int(-(2**63) + 2**64 * (rows / count))
-        known = known.where(F.col("_order") < F.lit(min(top, 2**63 - 1)).cast("long"))
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return texts.join(F.broadcast(known), "_key")
-
-
 def _weights(z: np.ndarray, n: np.ndarray, bias: np.ndarray, settings: tuple[float, float, float, float]) -> np.ndarray:
     """Weights that a state stands for; the bias is not held at zero."""
     alpha, beta, l1, l2 = settings
@@ -116,7 +105,7 @@ def _learner(bits: int, epochs: int, settings: tuple[float, float, float, float]
 
 
 def train(sample: DataFrame, bits: int = BITS, shards: int = SHARDS, epochs: int = EPOCHS, settings=(ALPHA, BETA, L1, L2)) -> Model:
-    """A model from rows of ``labelled_sample``."""
+    """A model from rows of ``sampling.labelled_sample``."""
     totals = sample.agg(F.count("y").alias("rows"), F.sum("y").alias("toxic")).first()
     share = totals["toxic"] / totals["rows"] if totals["rows"] else 0.0
     if share in (0.0, 1.0):
@@ -132,8 +121,6 @@ def train(sample: DataFrame, bits: int = BITS, shards: int = SHARDS, epochs: int
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
     """All columns and the probability that the text is toxic."""
-    from pyspark.sql import types as T
-
     if output in df.columns:
         raise ValueError(f"the table has a column {output} already; choose another name")
 
