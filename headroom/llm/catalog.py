@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import bytebpe, chat, decontaminate, quality, sampling, secret_scan, substrings, tokenfiles, toxicity
+from headroom.llm import bytebpe, chat, decontaminate, fuzzylines, quality, sampling, secret_scan, substrings, tokenfiles, toxicity
 from headroom.sources.staging import fresh_path
 
 #: Rank file of the byte-level BPE query; every executor reads it from its own installation.
@@ -69,6 +69,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fuzzylines.dedup_lines(docs, removed="n_removed")
+    kept = F.coalesce("text", F.lit(""))
+    n_kept = F.size(F.filter(F.split(kept, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
+    return out.select("doc_id", (n_kept + F.col("n_removed")).alias("n_lines"), "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -95,6 +103,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }
