@@ -7,8 +7,10 @@ a reader with a filter on the key skip pages.  File names ascend with the keys t
 stream of all ids is the files one after the other.
 
 The vocabulary comes from a file of the tokenizers library.  Texts are cut at ASCII white space,
-which that tokenizer drops, and each distinct word of a block is normalised, split and merged by
-the library once.  Words with white space beyond ASCII go through the whole library as they are.
+which that tokenizer drops, and each distinct word of a block is encoded once: words of Latin
+characters are lower-cased, split by the file's pattern and merged by the library's model, other
+words are normalised and split by the library too, and words with white space beyond ASCII go through
+the whole library as they are.
 
 Null texts count as empty and have the end id alone.  Rows with the same key are all written, side
 by side.  Columns other than key and text are not read.
@@ -16,6 +18,7 @@ by side.  Columns other than key and text are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,12 +33,24 @@ from pyspark.sql import functions as F
 from headroom.llm import words
 
 #: Larger blocks repeat more words.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Bytes of a row group and of a page, and the pre-tokens that a worker process remembers.
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-CACHED = 300_000
+CACHED = 200_000
 ODD_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Words of these characters have one normal form, their lower case, and are split below.
+LATIN = regex.compile(r"[!-~\xa1-\xac\xae-\u024f]+")
+#: Fixed value: the tokenizer file's own pattern of pre-tokens.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(other)}
+
 
 
 class Encoder:
@@ -48,17 +63,27 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        pattern = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")
+        # any other file is split by the library alone
+        self.split = regex.compile(PRE_TOKENS).findall if pattern == PRE_TOKENS else None
 
     def _by_library(self, word: str) -> bytes:
         return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def _token(self, piece: str) -> bytes:
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = array("i", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[piece] = ids
+    def _remember(self, piece: str, in_letters: str) -> bytes:
+        ids = array("i", [t.id for t in self.tokenizer.model.tokenize(in_letters)]).tobytes()
+        if len(self.cache) >= CACHED:
+            self.cache.clear()
+        self.cache[piece] = ids
+        return ids
+
+    def _latin(self, word: str) -> bytes:
+        """Ids of a word of Latin characters: lower case, split, and merged by the library."""
+        ids = b""
+        for piece in self.split(word.lower()):
+            own = self.cache.get(piece)
+            ids += self._remember(piece, piece.encode().decode("latin-1").translate(self.letters)) if own is None else own
         return ids
 
     def words(self, distinct: list[str]) -> list[bytes]:
@@ -73,6 +98,17 @@ class Encoder:
         return ids
 
     def _new_words(self, distinct: list[str]) -> list[bytes]:
+        if self.split is None:
+            return self._by_steps(distinct)
+        latin = LATIN.fullmatch
+        ids = [self._latin(w) if latin(w) else None for w in distinct]
+        other = [i for i, own in enumerate(ids) if own is None]
+        for i, own in zip(other, self._by_steps([distinct[i] for i in other]), strict=True):
+            ids[i] = own
+        return ids
+
+    def _by_steps(self, distinct: list[str]) -> list[bytes]:
+        """Any words: the library's normaliser, splitter and model one after the other."""
         odd = [i for i, w in enumerate(distinct) if not w.isascii() and ODD_SPACE.search(w) or w.isascii() and not w.isprintable()]
         plain = distinct if not odd else [w for i, w in enumerate(distinct) if i not in set(odd)]
         normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)) if plain else ""
@@ -84,7 +120,7 @@ class Encoder:
         at = np.searchsorted(edges, np.fromiter((s[1][0] for s in split), dtype=np.int64, count=len(split)), side="right")
         ids = [b""] * len(plain)
         for i, (piece, _) in zip(at.tolist(), split, strict=True):
-            ids[i] += self._token(piece)
+            ids[i] += array("i", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
         if odd:
             rest = iter(ids)
             special = set(odd)
