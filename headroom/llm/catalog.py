@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import bytebpe, chat, decontaminate, fuzzylines, quality, sampling, secret_scan, substrings, tokenfiles, toxicity
+from headroom.llm import bytebpe, chat, decontaminate, fuzzylines, neardup, quality, sampling, secret_scan, substrings, tokenfiles, toxicity
 from headroom.sources.staging import fresh_path
 
 #: Rank file of the byte-level BPE query; every executor reads it from its own installation.
@@ -37,6 +37,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "class_id")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -99,6 +104,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_near_dedup": op3_near_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_token_files": op5_token_files,
     "op6_secret_scan": op6_secret_scan,
