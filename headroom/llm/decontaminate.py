@@ -263,6 +263,7 @@ def remove_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage:
     """
     hits = find_hits(df, benchmark, window, text, **names)
     hits = hits.where(hit_words() <= coverage * F.col("n_words"))
+    columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,6 +277,6 @@ def remove_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage:
                         kept.append(raw[end : found.starts[s["first"]]])
                         end = int(found.ends[s["stop"] - 1])
                     texts[t] = b"".join([*kept, raw[end:]]).decode()
-            yield batch.set_column(at, text, pa.array(texts, pa.string())).select(df.columns)
+            yield batch.set_column(at, text, pa.array(texts, pa.string())).select(columns)
 
     return hits.mapInArrow(run, df.schema)
