@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headroom.llm import words
+from headroom.llm import linking, words
 from headroom.sources.staging import stage
 
 WINDOW = 13
@@ -120,7 +120,7 @@ def _key_rows(window: int, shared: np.ndarray, differing: np.ndarray):
                 first = seeds.found.first[text]
                 picked = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [_long(one), _long(two), block.column(0).take(picked), block.column(2).take(picked), _long(low - first), _long(high - first + window)],
+                    [_long(one), _long(two), block.column(0).take(picked), block.column(2).take(picked), pa.array(low - first, pa.int32()), pa.array(high - first + window, pa.int32())],
                     names=["one", "two", "id", "mark", "first", "stop"],
                 )
 
@@ -132,15 +132,15 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     A range covers words of windows that also start in a document with a smaller key.
     """
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark")).where("id is not null")
+    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.hash(text).alias("mark")).where("id is not null")
     seeds = texts.mapInArrow(_seed_rows(window), "seed long, reach long, id long")
     seeds = seeds.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most"), (F.min("reach") != F.max("reach")).alias("differ"))
     seeds = stage(seeds.where("least < most").select("seed", "differ"), "seeds")
     shared, differing = _bit_map(seeds), _bit_map(seeds.where("differ"))
-    places = stage(texts.mapInArrow(_key_rows(window, shared, differing), "one long, two long, id long, mark long, first long, stop long"), "places")
+    places = stage(texts.mapInArrow(_key_rows(window, shared, differing), "one long, two long, id long, mark int, first int, stop int"), "places")
     least = places.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     least = stage(least.select("one", "two", "least"), "least")
-    covered = places.join(least, ["one", "two"]).where("id > least")
+    covered = linking.among(places, "one", least, "one").join(least, ["one", "two"]).where("id > least")
     return covered.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))
 
 
@@ -192,6 +192,6 @@ def _cut(df: DataFrame, key: str, text: str, window: int, column: str, value) ->
                 )
 
     found = repeats(df, key, text, window)
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.hash(text).alias("mark"))
     rows = texts.join(found, ["id", "mark"], "left").select("id", "text", "ranges")
     return rows.mapInArrow(run, f"{key} bigint, n_words bigint, n_removed bigint, {column}")
