@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -43,7 +44,7 @@ HEADLINE = [
 ONCE = ["forest_variants"]
 
 
-def session() -> SparkSession:
+def session(shared: str) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
         .appName("headroom-bench")
@@ -51,6 +52,7 @@ def session() -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         # call-site capture for error messages costs a round trip per column expression
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -67,7 +69,8 @@ def seconds(spark: SparkSession, name: str) -> float:
 
 
 def main() -> None:
-    spark = session()
+    shared = tempfile.TemporaryDirectory(prefix="headroom-bench-")
+    spark = session(shared.name)
     began = time.perf_counter()
     catalog.stored_predictions(spark, SF_DIR)
     preparing = time.perf_counter() - began
@@ -91,6 +94,7 @@ def main() -> None:
         )
     )
     spark.stop()
+    shared.cleanup()
 
 
 if __name__ == "__main__":

@@ -17,7 +17,13 @@ from headroom.functions.columns import (
     with_default,
 )
 from headroom.operators.context import events_context, join_context
-from headroom.operators.series import CHUNK, SeriesCuts, find_cuts, with_series_columns
+from headroom.operators.series import (
+    CHUNK,
+    SeriesCuts,
+    find_cuts,
+    with_series_columns,
+    without_series_key,
+)
 
 _MEASURES = ["avg_cpu", "max_cpu", "avg_memory"]
 
@@ -110,6 +116,9 @@ def featured_usage(
 ) -> DataFrame:
     """All features of all usage rows, incomplete rows included.
 
+    Rows without a full series key belong to no series and have no context: they pass the
+    windows by, without features of either, and are found by their filter at the scan.
+
     Order of steps matters for the shuffle: the percentile arrays shrink to two numbers
     before it, the calendar is derived after it.  The context joins on the partitioning
     that the windows left behind.
@@ -120,7 +129,10 @@ def featured_usage(
     )
     rows = add_series_features(usage, cuts)
     rows = join_context(rows, events_context(events), cuts)
-    return select_features(add_calendar(rows))
+    rows = select_features(add_calendar(rows))
+    keyless = add_calendar(without_series_key(usage))
+    keyless = keyless.select(*present(keyless, rows.columns))
+    return rows.unionByName(keyless, allowMissingColumns=True)
 
 
 def build_features(

@@ -33,6 +33,11 @@ def with_series_key(df: DataFrame) -> DataFrame:
     return df.where(all_present(C.SERIES_KEYS))
 
 
+def without_series_key(df: DataFrame) -> DataFrame:
+    """The other rows, of which a key column is missing."""
+    return df.where(~all_present(C.SERIES_KEYS))
+
+
 def series_order() -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in C.SERIES_ORDER]
 

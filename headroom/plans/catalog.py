@@ -25,6 +25,8 @@ from headroom.sources import adapters, sinks, tables
 from headroom.sources.staging import fresh_path, stage
 
 CAPPED_ROWS = 1000
+# arrays compare by element: as many as a curve has
+CURVES = {"cpu_usage_distribution": 11, "tail_cpu_usage_distribution": 9}
 IDENTITY = ["row_id", *C.SERIES_KEYS, "start_time"]
 REDUCED_GRID = {"max_depth": [3, 5], "min_samples_split": [2, 10], "n_estimators": [5]}
 
@@ -106,7 +108,8 @@ def one_model(spark: SparkSession, sf_dir: str, model: str = REFERENCE_MODEL) ->
 
 def usage_scan_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.extract_usage(adapters.usage_source(spark, sf_dir), row_cap=None)
-    scalars = rows.drop("cpu_usage_distribution", "tail_cpu_usage_distribution")
+    elements = {f"{c}_{i}": F.get(c, F.lit(i)) for c, n in CURVES.items() for i in range(n)}
+    scalars = rows.withColumns(elements).drop(*CURVES)
     return _as_double(scalars, "alloc_collection_id", "alloc_instance_index")
 
 
@@ -176,6 +179,14 @@ def null_drop_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fe.null_drop_report(featured(spark, sf_dir)), "dropped_pct")
 
 
+def null_drop_missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over usage of which every tenth row has lost a series key."""
+    kept = F.when(F.col("row_id") % 10 != 0, F.col("instance_index"))
+    rows = usage(spark, sf_dir).withColumn("instance_index", kept)
+    whole = fe.featured_usage(rows, instance_events(spark, sf_dir))
+    return _rounded(fe.null_drop_report(whole), "dropped_pct")
+
+
 # --- Order over the whole table --------------------------------------------------------
 
 
@@ -286,9 +297,9 @@ def trend_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def squared_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    varying = stored_predictions(spark, sf_dir).where(F.col("model") != "train_mean")
     r2: Column = st.squared_correlation("actual_cpu", "predicted_cpu")
-    return _rounded(varying.groupBy("model").agg(r2.alias("r2")), "r2")
+    by_model = stored_predictions(spark, sf_dir).groupBy("model")
+    return _rounded(by_model.agg(r2.alias("r2")), "r2")
 
 
 def tradeoff_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +400,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "context_join": context_join,
     "features_clean": features_rounded,
     "null_drop_report": null_drop_report,
+    "null_drop_missing_keys": null_drop_missing_keys,
     "time_split": time_split,
     "expanding_folds": expanding_folds,
     "baseline_predictions": predictions_rounded,

@@ -7,7 +7,7 @@ query with the ones it needs.
 from __future__ import annotations
 
 from headroom import contracts as C
-from headroom.plans.catalog import CAPPED_ROWS
+from headroom.plans.catalog import CAPPED_ROWS, CURVES
 
 _ORDER = "start_time, collection_id, instance_index, row_id"
 _KEEP = "row_id, collection_id, instance_index, start_time"
@@ -35,7 +35,7 @@ VIEWS = {
                CASE WHEN e.event_id % 7 = 0 THEN m.embedding[12:14] ELSE m.embedding[12:20] END
                    AS tail_cpu_usage_distribution,
                e.event_id AS row_id
-        FROM events e LEFT JOIN embeddings m ON m.vec_id = e.event_id % 500""",
+        FROM events e LEFT JOIN embeddings m ON m.vec_id = e.event_id % (SELECT count(*) FROM embeddings)""",
     "week_v": f"""
         SELECT * FROM usage_v WHERE start_time BETWEEN 0 AND {C.SEVEN_DAYS_US}""",
     "ievents_v": """
@@ -225,13 +225,16 @@ def _fold(k: int) -> str:
 
 
 _SCALARS = [c for c in C.USAGE.fieldNames() if not c.endswith("_distribution")]
+_ELEMENTS = [
+    f"CAST({c}[{i + 1}] AS DOUBLE) AS {c}_{i}" for c, n in CURVES.items() for i in range(n)
+]
 _OUTCOME = _round("sla_violation_rate", "over_provision_cost")
 _SURPLUS = "sum(greatest(supply - actual_cpu, 0.0::DOUBLE)) / sum(actual_cpu)"
 
 ORACLE = {
     "usage_scan_7d": _with(
         ["week_v"],
-        f"""SELECT {", ".join(_SCALARS)} FROM (SELECT * REPLACE (
+        f"""SELECT {", ".join(_SCALARS + _ELEMENTS)} FROM (SELECT * REPLACE (
                 CAST(alloc_collection_id AS DOUBLE) AS alloc_collection_id,
                 CAST(alloc_instance_index AS DOUBLE) AS alloc_instance_index) FROM week_v)""",
     ),
@@ -345,8 +348,9 @@ ORACLE = {
     ),
     "squared_correlation": _with(
         ["pred_v"],
-        """SELECT model, round(corr(actual_cpu, predicted_cpu) ** 2, 6) AS r2
-           FROM pred_v WHERE model <> 'train_mean' GROUP BY model""",
+        """SELECT model, CASE WHEN stddev_pop(predicted_cpu) > 1e-12 THEN
+                             round(corr(actual_cpu, predicted_cpu) ** 2, 6) END AS r2
+           FROM pred_v GROUP BY model""",
     ),
     "tradeoff_curves": _with(
         ["results_v"],
@@ -394,3 +398,9 @@ ORACLE = {
            WHERE model IN ('lag1', 'peak', 'never_trained')""",
     ),
 }
+
+# The same report with a key missing in every tenth row.
+ORACLE["null_drop_missing_keys"] = ORACLE["null_drop_report"].replace(
+    "CAST(e.event_id % 2 AS BIGINT) AS instance_index",
+    "CASE WHEN e.event_id % 10 <> 0 THEN CAST(e.event_id % 2 AS BIGINT) END AS instance_index",
+)

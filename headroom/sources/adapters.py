@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 WINDOW_US = 300_000_000
 EVENTS_EPOCH = "2024-01-01"
 UNIX_EPOCH = "1970-01-01"
-CURVES = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +60,11 @@ def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``instance_usage`` with both distribution arrays taken from ``embeddings``.
 
-    Only vectors 0 to 499 can match, and ``vec_id`` is a key, so the broadcast side never
-    exceeds 500 rows.
+    Rows take the vectors in turn, all of them: ``vec_id`` counts from 0 without gaps.
     """
     as_curve = lambda first, n: F.slice("embedding", first, n).cast("array<double>")
-    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id").between(0, CURVES - 1))
+    vectors = table(spark, sf_dir, "embeddings")
+    turn = F.col("row_id") % max(1, vectors.count())
     curves = vectors.select(
         F.col("vec_id"),
         as_curve(1, 11).alias("cpu_usage_distribution"),
@@ -74,9 +73,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = usage_rows(spark, sf_dir)
     tail = F.when(F.col("row_id") % 7 == 0, F.col("short_tail")).otherwise(F.col("tail"))
-    joined = rows.join(
-        F.broadcast(curves), F.col("row_id") % CURVES == F.col("vec_id"), "left"
-    )
+    joined = rows.join(curves, turn == F.col("vec_id"), "left")
     return joined.select(
         *rows.columns, "cpu_usage_distribution", tail.alias("tail_cpu_usage_distribution")
     )

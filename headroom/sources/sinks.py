@@ -28,8 +28,12 @@ def write_features(df: DataFrame, path: str) -> str:
 
 
 def write_predictions(df: DataFrame, path: str) -> str:
-    """One Parquet table partitioned by model, so one variant can be read alone."""
-    return write_parquet(df, path, ["model"])
+    """One Parquet table partitioned by model, so one variant can be read alone.
+
+    Rows gather by model first, and a large model is split again, so that files are few and
+    of even size.
+    """
+    return write_parquet(df.hint("rebalance", "model"), path, ["model"])
 
 
 def write_csv(df: DataFrame, path: str) -> str:

@@ -72,12 +72,12 @@ def extract_usage(
     source: DataFrame,
     first_us: int = 0,
     last_us: int = C.SEVEN_DAYS_US,
-    row_cap: int | None = C.USAGE_ROW_CAP,
+    row_cap: int | None = None,
 ) -> DataFrame:
     """Usage rows that start within the period (both ends included), earliest first if capped.
 
-    The cap keeps the first rows by time, so a capped extract is reproducible; ``None``
-    keeps every row.  Keys of a series may be missing at this stage, so they play no part
+    Every row is kept unless a cap is asked for, which keeps the first rows by time, so a
+    capped extract is reproducible.  Keys of a series may be missing at this stage, so they play no part
     in the order.
     """
     period = source.where(F.col("start_time").between(first_us, last_us))
