@@ -34,10 +34,10 @@ from headroom.llm import words
 
 #: Larger blocks repeat more words.
 BLOCK_BYTES = 3 << 20
-#: Bytes of a row group and of a page, and the pre-tokens that a worker process remembers.
+#: Bytes of a row group and of a page, and the words and pre-tokens that a worker process remembers.
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-CACHED = 200_000
+CACHED_WORDS, CACHED_PIECES = 150_000, 500_000
 ODD_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Words of these characters have one normal form, their lower case, and are split below.
 LATIN = regex.compile(r"[!-~\xa1-\xac\xae-\u024f]+")
@@ -73,7 +73,7 @@ class Encoder:
 
     def _remember(self, piece: str, in_letters: str) -> bytes:
         ids = array("i", [t.id for t in self.tokenizer.model.tokenize(in_letters)]).tobytes()
-        if len(self.cache) >= CACHED:
+        if len(self.cache) >= CACHED_PIECES:
             self.cache.clear()
         self.cache[piece] = ids
         return ids
@@ -88,7 +88,7 @@ class Encoder:
 
     def words(self, distinct: list[str]) -> list[bytes]:
         """The ids of each word, as bytes of 32-bit integers."""
-        if len(self.known) >= CACHED:
+        if len(self.known) >= CACHED_WORDS:
             self.known.clear()
         ids = list(map(self.known.get, distinct))
         new = [i for i, own in enumerate(ids) if own is None]
