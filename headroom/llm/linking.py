@@ -5,7 +5,7 @@ nothing is open.  A member is settled in a bucket once it is linked to one of it
 center of another class is it as near as a common neighbour would allow: distances are metric, so two
 things with a common neighbour have a similarity of at least ``2 * threshold - 1``.  Members that are
 not settled become centers themselves, and a bucket is done when all of it is one class.  So every two
-members that are similar end in one class.  Centers double in each round, which bounds the number of
+members that are similar end in one class.  Centers multiply in each round, which bounds the number of
 rounds by the logarithm of the largest bucket.
 
 ``components`` finds connected components by large and small stars.  Edges never come to the driver,
@@ -16,11 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from headroom.sources.staging import stage
 
+#: How many times more centers a bucket has in the next round.
+CENTERS = 16
 #: The filter in front of a join has this many words of 64 bits.
 FILTER_WORDS_BITS = 20
 
@@ -39,20 +41,23 @@ def among(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
     return found.where(F.getbit("_bits", own.bitwiseAND(F.lit(63)).cast("int")) == 1).select(df.columns)
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """A written table, its number of rows and a sum of their hashes, counted while writing."""
+    seen = Observation()
+    hashed = F.xxhash64(*df.columns).bitwiseAND(F.lit((1 << 30) - 1))
+    table = stage(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(hashed).alias("hashes")), name)
+    return table, seen.get["rows"], seen.get["hashes"] or 0
 
 
 def _toward_least(both: DataFrame, keep) -> DataFrame:
-    """Each kept neighbour of u, and u, linked to the least of u and its neighbours."""
+    """Each kept neighbour of u linked to the least of u and its neighbours."""
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.join(least, "u").where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """``node`` and ``root``, the least node of its component, for every node of an edge ``a``-``b``."""
-    edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    state = _state(edges)
+    edges, *state = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     while state[0]:
         forth, back = edges.select(F.col("a").alias("u"), F.col("b").alias("v")), edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         large = _toward_least(forth.unionAll(back), F.col("v") > F.col("u")).where("a <> b").distinct()
@@ -60,14 +65,20 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = stage(small.where("a <> b").distinct(), name)
-        was, state = state, _state(edges)
+        was = state
+        edges, *state = staged(small.where("a <> b").distinct(), name)
         if was == state:
             break
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.select("key", "node", F.col("node").alias("root"))
+    return members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+
 def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
     """``node`` and ``root`` of all nodes that are linked to another; None if there are none.
 
@@ -75,40 +86,32 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshol
     """
     shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     shared = stage(shared, "shared")
-    members = stage(among(members, "key", shared, "key").join(shared, "key").distinct(), "members")
-    unsettled = members
-    compared = centers = roots = None
-    round_ = 0
-    while True:
+    members, n, _ = staged(among(members, "key", shared, "key").join(shared, "key").distinct(), "members")
+    unsettled, roots, round_ = members, None, 0
+    compared = centers = None
+    while n:
         order = F.xxhash64("node", F.lit(round_))
         if round_ == 0:
             chosen = unsettled.groupBy("key").agg(F.min_by("node", order).alias("center"))
         else:
             rank = F.row_number().over(Window.partitionBy("key").orderBy(order))
-            chosen = unsettled.withColumn("rank", rank).where(F.col("rank") <= 2**round_).select("key", F.col("node").alias("center"))
+            chosen = unsettled.withColumn("rank", rank).where(F.col("rank") <= CENTERS**round_).select("key", F.col("node").alias("center"))
         chosen = stage(chosen, "centers")
-        rooted = members if roots is None else members.join(roots, "node", "left")
-        root = F.col("node") if roots is None else F.coalesce("root", "node")
-        rooted = rooted.select("key", "node", root.alias("root"))
-        # a center brings its own class along
-        facing = chosen.join(rooted.select("key", F.col("node").alias("center"), F.col("root").alias("center_root")), ["key", "center"])
+        rooted = _rooted(members, roots)
+        facing = chosen.join(rooted.select("key", F.col("node").alias("center"), F.col("root").alias("center_root")), ["key", "center"]) if roots is not None else chosen.withColumn("center_root", F.col("center"))
         pairs = rooted.join(facing, "key").where("root <> center_root").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        new = stage(compare(stage(pairs, "pairs")).select("a", "b", "sim"), "compared")
-        compared = new if compared is None else stage(compared.unionAll(new), "compared")
-        centers = chosen if centers is None else stage(centers.unionAll(chosen), "centers")
-        links = compared.where(F.col("sim") >= threshold)
-        if links.isEmpty():
-            roots = None
-        else:
-            roots = stage(components(links), "roots")
-        # what is open: buckets of several classes, members neither center nor settled
-        rooted = members if roots is None else members.join(roots, "node", "left")
-        root = F.col("node") if roots is None else F.coalesce("root", "node")
-        rooted = stage(rooted.select("key", "node", root.alias("root")), "rooted")
+        new = compare(stage(pairs, "pairs")).select("a", "b", "sim")
+        new, n_new, _ = staged(new, "compared")
+        compared = new if compared is None else compared.unionAll(new)
+        centers = chosen if centers is None else centers.unionAll(chosen)
+        if n_new:
+            roots = stage(components(compared.where(F.col("sim") >= threshold)), "roots")
+        # what is open: in buckets of several classes, members neither center nor settled
+        rooted = _rooted(members, roots)
         several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        rooted = rooted.join(several, "key")
+        rooted = stage(rooted.join(several, "key"), "rooted")
         facing = centers.join(rooted.select("key", F.col("node").alias("center"), F.col("root").alias("center_root")), ["key", "center"])
         met = rooted.join(facing, "key").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")}).join(compared, ["a", "b"], "left")
         near = F.coalesce(F.col("sim"), F.lit(0.0))
@@ -117,9 +120,7 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshol
             F.max(near >= threshold).alias("linked"),
             F.max((near >= 2 * threshold - 1) & (F.col("root") != F.col("center_root"))).alias("border"),
         )
-        unsettled = stage(met.where(~F.col("was_center") & (~F.col("linked") | F.col("border"))).select("key", "node"), "unsettled")
-        if unsettled.isEmpty():
-            return roots
-        members = stage(members.join(unsettled.select("key").distinct(), "key", "left_semi"), "members")
-        centers = stage(centers.join(unsettled.select("key").distinct(), "key", "left_semi"), "centers")
+        unsettled, n, _ = staged(met.where(~F.col("was_center") & (~F.col("linked") | F.col("border"))).select("key", "node"), "unsettled")
+        members = rooted.select("key", "node")
         round_ += 1
+    return roots

@@ -46,14 +46,14 @@ def _repeated_words(words: Column, count: Column) -> Column:
                 (F.coalesce(F.get(ordered, i - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get(ordered, i + 1)["h"] == e["h"], F.lit(False))).alias("twice"),
             ),
         )
-        return F.array_sort(F.transform(F.filter(same, lambda e: e["twice"]), lambda e: e["at"]))
+        return F.sort_array(F.transform(F.filter(same, lambda e: e["twice"]), lambda e: e["at"]))
 
     def covered(at: Column) -> Column:
         gaps = F.transform(at, lambda p, i: F.least(F.lit(REPEAT_WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(REPEAT_WINDOW))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, gap: total + gap)
 
     def repeated(windows: Column) -> Column:
-        ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(let(ordered, positions), covered))
 
     def windows(hashed: Column) -> Column:
