@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import bytebpe, chat, decontaminate, fuzzylines, neardup, quality, sampling, secret_scan, substrings, tokenfiles, toxicity
+from headroom.llm import bytebpe, chat, decontaminate, fuzzylines, neardup, quality, sampling, secret_scan, substrings, tokenfiles, toxicity, words
 from headroom.sources.staging import fresh_path
 
 #: Rank file of the byte-level BPE query; every executor reads it from its own installation.
@@ -16,6 +16,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    words.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -35,6 +35,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def small_batches(spark) -> None:
+    """Let Spark hand batches of some MB to Python, however long the rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+
+
 def kept_in_process(name: str, make):
     """What ``make`` returns, made once in each worker process."""
     store = sys.modules.setdefault("_headroom_llm_kept", types.ModuleType("_headroom_llm_kept"))
