@@ -270,16 +270,16 @@ def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", output: str = "ids") -> DataFrame:
     """All columns and the ids of ``text`` (null: none), as the rank file's BPE gives them."""
-    return df.mapInArrow(_encoder(path, pattern, text), _added(df, output, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(_encoder(path, pattern, text, output), _added(df, output, T.ArrayType(T.IntegerType())))
 
 
-def _encoder(path: str, pattern: str, text: str):
+def _encoder(path: str, pattern: str, text: str, output: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
             for block in words.blocks(batch, text):
                 ids = own.encode(words.strings(block, text))
-                yield pa.RecordBatch.from_arrays([*block.columns, ids], names=[*block.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*block.columns, ids], names=[*block.schema.names, output])
 
     return run
 
@@ -292,7 +292,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", output: str
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
             decoded = pa.array([own.decode(x or []) for x in lists.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, output])
 
     return df.mapInArrow(run, _added(df, output, T.BinaryType()))
 

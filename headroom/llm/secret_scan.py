@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from headroom.llm import words
 
@@ -235,6 +236,7 @@ class Scanner:
         self.width = self.all.table.shape[1]
         self.steps = (self.all.table * self.width).ravel().astype(np.int32)
         self.flag_of = np.repeat(self.all.flags, self.width)
+        self.lists = self.steps.tolist(), self.flag_of.tolist()
 
     @staticmethod
     def _dead(dfa: Dfa) -> int:
@@ -276,7 +278,7 @@ class Scanner:
         return starts[hit], starts[hit] + lengths[hit], kinds[hit]
 
     def _finish(self, classes, starts, lengths, state, kinds, t: int) -> None:
-        steps, flag_of = words.kept_in_process("secret_steps", lambda: (self.steps.tolist(), self.flag_of.tolist()))
+        steps, flag_of = self.lists
         for lane, (start, length) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
             now, seen = int(state[lane]), 0
             for c in classes[start + t : start + length].tolist():
@@ -345,8 +347,6 @@ def _listed(spans, rules) -> str:
 
 def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", output: str = "secrets") -> DataFrame:
     """All columns and ``secrets``: structs of kind, start and stop (code points, stop exclusive)."""
-    from pyspark.sql import types as T
-
     if output in df.columns:
         raise ValueError(f"the table has a column {output} already; choose another name")
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])

@@ -39,11 +39,11 @@ def test_byte_bpe_equals_the_library_and_decodes_to_the_text(spark, reference_bp
 
 def test_byte_bpe_lists_go_through_spark_and_back(spark):
     df, pairs = documents(spark, 20)
-    coded = bytebpe.encode(df, catalog.BYTE_BPE, public_tokenizers.PATTERN)
-    back = rows(bytebpe.decode(coded, catalog.BYTE_BPE, public_tokenizers.PATTERN))
+    coded = bytebpe.encode(df.withColumn("ids", F.lit("mine")), catalog.BYTE_BPE, public_tokenizers.PATTERN, output="coded")
+    back = rows(bytebpe.decode(coded, catalog.BYTE_BPE, public_tokenizers.PATTERN, ids="coded"))
     assert all(bytes(back[k]["decoded"]).decode() == (t or "") for k, t in pairs)
     with pytest.raises(ValueError):
-        bytebpe.encode(coded, catalog.BYTE_BPE, public_tokenizers.PATTERN)
+        bytebpe.encode(coded, catalog.BYTE_BPE, public_tokenizers.PATTERN, output="ids")
     assert bytebpe.round_trip(empty(spark), catalog.BYTE_BPE, public_tokenizers.PATTERN).count() == 0
 
 
