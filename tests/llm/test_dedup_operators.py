@@ -110,6 +110,35 @@ def test_line_candidates_find_nearly_all_similar_pairs(spark):
     assert got[0] >= 0.95 and got[1] >= 0.8
 
 
+@pytest.mark.parametrize(
+    "letters, length",
+    [("0123456789,", 60), ("0123456789abcdf", 200), ("ABCDEFGHIJ_;", 100), ("ACGT", 150), ("/abcdfghij.-", 400), ("0123456789;", 20), ("абвгдежзик", 90)],
+)
+def test_line_candidates_need_no_words_and_no_common_start(spark, letters, length):
+    random.seed(13)
+    pairs = []
+    while len(pairs) < 150:
+        line = "".join(random.choice(letters) for _ in range(length))
+        # a date or number in front; of short lines only its first character differs
+        start = "".join(random.choice("QRSTUVWXYZ") for _ in range(8 if length > 80 else 1))
+        other = start + line[len(start) :]
+        if len(grams(line) & grams(other)) >= 0.8 * len(grams(line) | grams(other)):
+            pairs.append((line, other))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    keys = df.select(fuzzylines.band_keys(F.col("x")).alias("x"), fuzzylines.band_keys(F.col("y")).alias("y")).collect()
+    assert sum(bool(set(r["x"]) & set(r["y"])) for r in keys) >= 0.97 * len(keys)
+    # lines that have next to nothing in common do not meet
+    if len(letters) > 4:
+        assert sum(bool(set(a["x"]) & set(b["x"])) for a, b in zip(keys, keys[1:])) <= 2
+
+
+def test_lines_that_differ_in_their_first_characters_are_kept_once(spark):
+    line = ",".join(str(k * 7919 % 1000) for k in range(60))
+    df = spark.createDataFrame([(i, f"{i * 1234567:08d},{line}") for i in range(1, 6)], "doc_id long, text string")
+    got = rows(fuzzylines.dedup_lines(df, removed="removed"))
+    assert [got[i]["removed"] for i in range(1, 6)] == [0, 1, 1, 1, 1]
+
+
 def test_similar_lines_by_cluster_chain_end_in_one_class(spark):
     # a - b - c - d: neighbours are similar, others aren't; all share one bucket
     sims = {(1, 2): 0.85, (2, 3): 0.85, (3, 4): 0.85, (1, 3): 0.7, (2, 4): 0.7, (1, 4): 0.6}
