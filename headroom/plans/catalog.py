@@ -6,7 +6,7 @@ per session and folder, then read by the queries that come after them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,6 @@ CAPPED_ROWS = 1000
 # arrays compare by element: as many as a curve has
 CURVES = {"cpu_usage_distribution": 11, "tail_cpu_usage_distribution": 9}
 IDENTITY = ["row_id", *C.SERIES_KEYS, "start_time"]
-REDUCED_GRID = {"max_depth": [3, 5], "min_samples_split": [2, 10], "n_estimators": [5]}
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -348,22 +347,34 @@ def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Forests ---------------------------------------------------------------------------
 
 
-def _light_training(spark: SparkSession, sf_dir: str) -> forecast.Training:
-    return forecast.train_variants(stored_features(spark, sf_dir), forecast.light())
+# The declared variants and grid, unless a caller bounds them (``forecast.light()``, a smaller grid).
 
 
-def forest_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    training = _light_training(spark, sf_dir)
+def forest_variants(
+    spark: SparkSession,
+    sf_dir: str,
+    variants: Iterable[forecast.Variant] = tuple(forecast.VARIANTS),
+    grid: dict[str, list] = forecast.PARAM_GRID,
+) -> DataFrame:
+    training = forecast.train_variants(stored_features(spark, sf_dir), variants, grid)
     return forecast.metric_rows(training.predictions, training.fitted)
 
 
-def forest_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chartdata.top_features(_light_training(spark, sf_dir).importances, model=None)
+def forest_importances(
+    spark: SparkSession,
+    sf_dir: str,
+    variants: Iterable[forecast.Variant] = tuple(forecast.VARIANTS),
+    grid: dict[str, list] = forecast.PARAM_GRID,
+) -> DataFrame:
+    training = forecast.train_variants(stored_features(spark, sf_dir), variants, grid)
+    return chartdata.top_features(training.importances, model=None)
 
 
-def forest_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forest_grid_search(
+    spark: SparkSession, sf_dir: str, grid: dict[str, list] = forecast.PARAM_GRID
+) -> DataFrame:
     train = split(spark, sf_dir).train
-    found = forecast.grid_search(train, C.FEATURES, REDUCED_GRID)
+    found = forecast.grid_search(train, C.FEATURES, grid)
     rows = [
         (p["n_estimators"], p["max_depth"], p["min_samples_split"], score, p == found.best)
         for p, score in found.scores
@@ -374,14 +385,19 @@ def forest_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def full_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+def full_study(
+    spark: SparkSession,
+    sf_dir: str,
+    variants: Iterable[forecast.Variant] = tuple(forecast.VARIANTS),
+    grid: dict[str, list] = forecast.PARAM_GRID,
+) -> DataFrame:
     root = fresh_path(spark, "study")
     sources = jobs.Sources(
         adapters.usage_source(spark, sf_dir),
         adapters.instance_events_source(spark, sf_dir),
         adapters.machine_events_source(spark, sf_dir),
     )
-    jobs.run_study(spark, root, sources, variants=forecast.light(), row_cap=None)
+    jobs.run_study(spark, root, sources, variants=variants, grid=grid, row_cap=None)
     return tables.read_csv(spark, f"{root}/policy_results", C.POLICY_RESULTS)
 
 
