@@ -9,8 +9,8 @@ stream of all ids is the files one after the other.
 The vocabulary comes from a file of the tokenizers library.  Texts are cut at ASCII white space,
 which that tokenizer drops, and each distinct word of a block is encoded once: words of Latin
 characters are lower-cased, split by the file's pattern and merged by the library's model, other
-words are normalised and split by the library too, and words with white space beyond ASCII go through
-the whole library as they are.
+words are normalised and split by the library too, and words with white space beyond ASCII or with
+the text of an added token (``<|endoftext|>``) go through the whole library as they are.
 
 Null texts count as empty and have the end id alone.  Rows with the same key are all written, side
 by side.  Columns other than key and text are not read.
@@ -60,7 +60,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)", regex.IGNORECASE).search
         self.cache: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.letters = _byte_letters()
@@ -98,6 +99,10 @@ class Encoder:
         return ids
 
     def _new_words(self, distinct: list[str]) -> list[bytes]:
+        whole = {i: self._by_library(w) for i, w in enumerate(distinct) if self.added(w)}
+        if whole:
+            rest = iter(self._new_words([w for i, w in enumerate(distinct) if i not in whole]))
+            return [whole[i] if i in whole else next(rest) for i in range(len(distinct))]
         if self.split is None:
             return self._by_steps(distinct)
         latin = LATIN.fullmatch

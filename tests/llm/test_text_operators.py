@@ -73,6 +73,17 @@ def test_token_files_hold_the_librarys_ids_in_order(spark):
         start += len(ids)
 
 
+def test_token_files_hold_added_tokens_as_the_library_finds_them(spark):
+    texts = ["a<|endoftext|>b end", "x  <|startoftext|>  y<|endoftext|>", "<|STARTOFTEXT|> é<|endoftext|>é", "<|endoftext|><|endoftext|>", "plain | < text"]
+    tokenizer = Tokenizer.from_file(catalog.WORD_BPE)
+    folder = fresh_path(spark, "tokens")
+    tokenfiles.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, catalog.WORD_BPE, end=2)
+    got = rows(tokenfiles.read(spark, folder))
+    for i, text in enumerate(texts):
+        assert got[i]["ids"] == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert got[0]["ids"].count(49407) == 1 and got[1]["ids"].count(49406) == 1
+
+
 def test_token_files_are_readable_by_column_and_key(spark):
     df, _ = documents(spark)
     folder = fresh_path(spark, "tokens")
