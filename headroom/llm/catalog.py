@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import bytebpe, chat, decontaminate, fuzzylines, neardup, quality, sampling, secret_scan, substrings, tokenfiles, toxicity, words
+from headroom.llm import bytebpe, chat, decontaminate, divergence, fuzzylines, lexsearch, neardup, quality, sampling, secret_scan, substrings, tokenfiles, toxicity, words
 from headroom.sources.staging import fresh_path
 
 #: Rank file of the byte-level BPE query; every executor reads it from its own installation.
@@ -102,6 +102,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -113,6 +121,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE: dict[str, str] = {}
@@ -177,3 +187,57 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (doc_id)
 """
+
+ORACLE["op11_source_divergence"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+word AS (SELECT id, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS total FROM word GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY lang, source, term),
+member AS (SELECT DISTINCT lang, source FROM doc),
+size AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+own AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY lang, source),
+dense AS (
+  SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(o.n, 0) + s.v)::HUGEINT AS p,
+         1 + 1000000000::HUGEINT * (k.total + 1) // (s.n + s.v)::HUGEINT AS q
+  FROM member m JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN own o USING (lang, source) LEFT JOIN counts c USING (lang, source, term)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM dense a JOIN dense b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM member a JOIN member b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM dense WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE["op12_ranked_search"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS place, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+item AS (
+  SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS repeats FROM item GROUP BY item_id, term),
+total AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS len FROM doc WHERE len(w) > 0),
+posting AS (
+  SELECT place, doc_id, term, count(*) AS tf, any_value(n) AS n
+  FROM (SELECT place, doc_id, len(w) AS n, unnest(w) AS term FROM doc) GROUP BY place, doc_id, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM posting, total WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+scored AS (
+  SELECT item_id, place, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // len)))) AS BIGINT) AS score
+  FROM asked JOIN weight USING (term) JOIN posting USING (term), total GROUP BY item_id, place, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
