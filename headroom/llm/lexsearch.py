@@ -142,8 +142,8 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, key: str = "doc_id
     seen = Observation()
     read = _by_term(rows).observe(seen, F.count_if("first").alias("documents"), F.sum(F.when(F.col("first"), F.col("size"))).alias("terms"))
     postings = stage(linking.among(read, "term", asked, "term").drop("first"), "postings")
-    # the plan of an empty table may fold away, and what would be observed with it
-    documents, length = (0, 0) if docs.isEmpty() else (seen.get["documents"], seen.get["terms"] or 0)
+    # the plan over an empty table may fold away, and what would be observed with it
+    documents, length = (0, 0) if docs.isEmpty() or asked.isEmpty() else (seen.get["documents"], seen.get["terms"] or 0)
     terms = weighted_terms(asked, postings, documents, shares)
     blocks = 1 + named.count() // BLOCK
     terms = stage(terms.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))), "asked")
