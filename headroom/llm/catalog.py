@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import bytebpe, chat, decontaminate, divergence, fuzzylines, lexsearch, neardup, quality, sampling, secret_scan, substrings, tokenfiles, toxicity, words
+from headroom.llm import bytebpe, chat, decontaminate, divergence, fuzzylines, lexsearch, maintext, neardup, quality, sampling, secret_scan, substrings, tokenfiles, toxicity, words
 from headroom.sources.staging import fresh_path
 
 #: Rank file of the byte-level BPE query; every executor reads it from its own installation.
@@ -110,6 +110,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return maintext.extract(pages, maintext.train(pages))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -123,6 +128,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_source_divergence": op11_source_divergence,
     "op12_ranked_search": op12_ranked_search,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLE: dict[str, str] = {}
