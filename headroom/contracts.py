@@ -70,7 +70,6 @@ CONTEXT_COLUMNS = [
 TRACE_EPOCH = "2019-05-01"
 CELL_ZONE = "America/New_York"
 SEVEN_DAYS_US = 7 * 24 * 3600 * 1_000_000
-USAGE_ROW_CAP = 1_000_000
 SCHEDULE_TYPE = 1
 MACHINE_TYPES = (0, 1)
 P90_INDEX = 9

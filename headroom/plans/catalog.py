@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from headroom import contracts as C
 from headroom.functions import columns as col
 from headroom.functions import statistics as st
-from headroom.operators import chartdata, forecast, ordering, policy
+from headroom.operators import chartdata, forecast, ordering, policy, trees
 from headroom.operators import features as fe
 from headroom.operators.context import events_context, join_context
 from headroom.operators.ordering import TimeSplit
@@ -22,14 +23,14 @@ from headroom.operators.series import find_cuts
 from headroom.plans import jobs
 from headroom.plans.stand_ins import REFERENCE_MODEL, stand_in_predictions
 from headroom.sources import adapters, sinks, tables
-from headroom.sources.staging import fresh_path, stage
+from headroom.sources.staging import fresh_path
 
 CAPPED_ROWS = 1000
 # arrays compare by element: as many as a curve has
 CURVES = {"cpu_usage_distribution": 11, "tail_cpu_usage_distribution": 9}
 IDENTITY = ["row_id", *C.SERIES_KEYS, "start_time"]
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, str, str], str] = {}
 
 
 def _staged(
@@ -39,10 +40,13 @@ def _staged(
     build: Callable[[SparkSession, str], DataFrame],
     partition_by: list[str] | None = None,
 ) -> DataFrame:
+    """A table built once per session and folder, and again if somebody has removed it since."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STAGED:
-        _STAGED[key] = stage(build(spark, sf_dir), name, partition_by)
-    return _STAGED[key]
+    if key not in _STAGED or not sinks.is_complete(spark, _STAGED[key]):
+        path = fresh_path(spark, name)
+        sinks.write_parquet(build(spark, sf_dir), path, partition_by)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -349,6 +353,21 @@ def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The declared variants and grid, unless a caller bounds them (``forecast.light()``, a smaller grid).
 
+_FITS: dict[tuple[str, str], forecast.Fits] = {}
+
+
+def _fits(spark: SparkSession, sf_dir: str) -> forecast.Fits:
+    """Where the forests of a folder's features are kept: each is grown by the first query that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    return _FITS.setdefault(key, forecast.Fits(fresh_path(spark, "fits")))
+
+
+def _trained(
+    spark: SparkSession, sf_dir: str, variants: Iterable[forecast.Variant], grid: dict[str, list]
+) -> forecast.Training:
+    rows = stored_features(spark, sf_dir)
+    return forecast.train_variants(rows, variants, grid, fits=_fits(spark, sf_dir))
+
 
 def forest_variants(
     spark: SparkSession,
@@ -356,25 +375,66 @@ def forest_variants(
     variants: Iterable[forecast.Variant] = tuple(forecast.VARIANTS),
     grid: dict[str, list] = forecast.PARAM_GRID,
 ) -> DataFrame:
-    training = forecast.train_variants(stored_features(spark, sf_dir), variants, grid)
+    training = _trained(spark, sf_dir, variants, grid)
     return forecast.metric_rows(training.predictions, training.fitted)
 
 
+#: Variants whose setting is given, not searched.
+GIVEN = tuple(v for v in forecast.VARIANTS if not v.search)
+
+
+def forest_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_variants(spark, sf_dir, GIVEN)
+
+
+def forest_prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is exact of the predictions: everything but the predicted value, which lies between the target's extremes."""
+    rows = stored_features(spark, sf_dir)
+    low, high = rows.agg(F.min(C.TARGET), F.max(C.TARGET)).first()
+    out = _trained(spark, sf_dir, GIVEN, forecast.PARAM_GRID).predictions
+    return out.withColumn("in_range", F.col("predicted_cpu").between(low, high)).drop("predicted_cpu")
+
+
+def forest_importance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is exact of the importances: models, features, and their sum."""
+    rows = _trained(spark, sf_dir, GIVEN, forecast.PARAM_GRID).importances
+    total = F.round(F.sum("importance").over(W.partitionBy("model")), 6)
+    return rows.select("model", "feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("total"))
+
+
+TREE_DEPTH = 2
+
+
+def regression_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of one tree of depth 2 over the train rows, each counted once."""
+    train = split(spark, sf_dir).train
+    stop = trees.Stop(1, TREE_DEPTH)
+    grown = trees.load(_fits(spark, sf_dir).trees(train, C.FEATURES, stop, None), 1)
+    share = trees.importance(grown, len(C.FEATURES), stop)
+    nodes, rows, open_ = grown[0], [], [(0, "root")]
+    for at, place in open_:
+        feature, left = int(nodes["feature"][at]), int(nodes["left"][at])
+        inner = feature >= 0
+        rows.append((place, C.FEATURES[feature] if inner else None, float(nodes["threshold"][at]) if inner else None, float(nodes["value"][at]), int(nodes["rows"][at]), float(share[feature]) if inner else None))
+        open_ += [(left, f"{place}.left"), (left + 1, f"{place}.right")] if inner else []
+    made = spark.createDataFrame(rows, "node string, feature string, threshold double, value double, n_rows long, importance double")
+    return _rounded(made, "threshold", "value", "importance")
+
+
 def forest_importances(
     spark: SparkSession,
     sf_dir: str,
     variants: Iterable[forecast.Variant] = tuple(forecast.VARIANTS),
     grid: dict[str, list] = forecast.PARAM_GRID,
 ) -> DataFrame:
-    training = forecast.train_variants(stored_features(spark, sf_dir), variants, grid)
-    return chartdata.top_features(training.importances, model=None)
+    return chartdata.top_features(_trained(spark, sf_dir, variants, grid).importances, model=None)
 
 
 def forest_grid_search(
     spark: SparkSession, sf_dir: str, grid: dict[str, list] = forecast.PARAM_GRID
 ) -> DataFrame:
     train = split(spark, sf_dir).train
-    found = forecast.grid_search(train, C.FEATURES, grid)
+    found = forecast.grid_search(train, C.FEATURES, grid, fits=_fits(spark, sf_dir))
     rows = [
         (p["n_estimators"], p["max_depth"], p["min_samples_split"], score, p == found.best)
         for p, score in found.scores
@@ -439,6 +499,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_round_trip": csv_round_trip,
     "json_summary": json_summary,
     "parquet_round_trip": parquet_round_trip,
+    "forest_given": forest_given,
+    "forest_prediction_rows": forest_prediction_rows,
+    "forest_importance_rows": forest_importance_rows,
+    "regression_tree": regression_tree,
     "forest_variants": forest_variants,
     "forest_grid_search": forest_grid_search,
     "forest_importances": forest_importances,

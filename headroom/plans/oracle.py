@@ -7,7 +7,8 @@ query with the ones it needs.
 from __future__ import annotations
 
 from headroom import contracts as C
-from headroom.plans.catalog import CAPPED_ROWS, CURVES
+from headroom.operators import trees
+from headroom.plans.catalog import CAPPED_ROWS, CURVES, GIVEN, TREE_DEPTH
 
 _ORDER = "start_time, collection_id, instance_index, row_id"
 _KEEP = "row_id, collection_id, instance_index, start_time"
@@ -404,3 +405,60 @@ ORACLE["null_drop_missing_keys"] = ORACLE["null_drop_report"].replace(
     "CAST(e.event_id % 2 AS BIGINT) AS instance_index",
     "CASE WHEN e.event_id % 10 <> 0 THEN CAST(e.event_id % 2 AS BIGINT) END AS instance_index",
 )
+
+_GIVEN = ", ".join(f"('{v.name}', {v.features})" for v in GIVEN)
+
+ORACLE["forest_prediction_rows"] = _with(
+    ["ranked_v"],
+    f"""SELECT model, start_time, collection_id, instance_index, machine_id, {C.TARGET} AS actual_cpu,
+               resource_request_cpu, row_id, true AS in_range
+        FROM ranked_v, (VALUES {_GIVEN}) given(model, features)
+        WHERE place > CAST(floor(total * {C.TRAIN_SHARE}::DOUBLE) AS BIGINT)""",
+)
+ORACLE["forest_importance_rows"] = f"""
+    SELECT model, unnest(features) AS feature, true AS not_negative, 1.0::DOUBLE AS total
+    FROM (VALUES {_GIVEN}) given(model, features)"""
+
+
+def _tree(depth: int) -> str:
+    """The greedy regression tree, level by level: every midpoint of every feature is tried."""
+    features = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in C.FEATURES)
+    steps = [
+        f"""at_0 AS (SELECT 'root' AS node, {C.TARGET} AS y, {features} FROM ranked_v
+                     WHERE place <= CAST(floor(total * {C.TRAIN_SHARE}::DOUBLE) AS BIGINT))"""
+    ]
+    for k in range(depth + 1):
+        steps.append(f"""node_{k} AS (SELECT node, avg(y) AS value, count(*) AS n_rows, var_pop(y) * count(*) AS error FROM at_{k} GROUP BY node)""")
+        if k == depth:
+            break
+        steps.append(f"""each_{k} AS (
+            SELECT node, feature, x, count(*) AS n, sum(y - value) AS off, any_value(n_rows) AS n_rows, any_value(error) AS error
+            FROM (UNPIVOT at_{k} ON {", ".join(C.FEATURES)} INTO NAME feature VALUE x) JOIN node_{k} USING (node)
+            GROUP BY node, feature, x)""")
+        steps.append(f"""cut_{k} AS (
+            SELECT *, sum(n) OVER along AS n_left, sum(off) OVER along AS off_left, lead(x) OVER along AS next_x
+            FROM each_{k} WINDOW along AS (PARTITION BY node, feature ORDER BY x))""")
+        steps.append(f"""split_{k} AS (
+            SELECT DISTINCT ON (node) node, feature, x + (next_x - x) / 2 AS threshold,
+                   round(off_left * off_left * (1 / n_left::DOUBLE + 1 / (n_rows - n_left)::DOUBLE) / error, {trees.DIGITS}) AS share, error
+            FROM cut_{k} WHERE next_x IS NOT NULL
+            ORDER BY node, share DESC, list_position({C.FEATURES}, feature), x)""")
+        chosen = " ".join(f"WHEN '{f}' THEN {f}" for f in C.FEATURES)
+        steps.append(f"""at_{k + 1} AS (
+            SELECT node || CASE WHEN CASE feature {chosen} END <= threshold THEN '.left' ELSE '.right' END AS node, a.* EXCLUDE (node)
+            FROM at_{k} a JOIN split_{k} USING (node))""")
+    removed = " UNION ALL ".join(f"SELECT feature, share * error AS gain FROM split_{k}" for k in range(depth))
+    steps.append(f"gained AS (SELECT feature, sum(gain) AS gain FROM ({removed}) GROUP BY feature)")
+    rows = " UNION ALL ".join(
+        f"SELECT node, feature, threshold, value, n_rows FROM node_{k} LEFT JOIN split_{k} USING (node)"
+        if k < depth
+        else f"SELECT node, CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), value, n_rows FROM node_{k}"
+        for k in range(depth + 1)
+    )
+    return ",\n".join(steps) + f"""
+        SELECT node, feature, round(threshold, 6) AS threshold, round(value, 6) AS value, n_rows,
+               round(gain / (SELECT sum(gain) FROM gained), 6) AS importance
+        FROM ({rows}) LEFT JOIN gained USING (feature)"""
+
+
+ORACLE["regression_tree"] = _with(["ranked_v"], "").rstrip() + ",\n" + _tree(TREE_DEPTH)

@@ -1,8 +1,8 @@
-"""Writing result tables.  Every sink replaces what its path held before."""
+"""Writing result tables.  A sink replaces what its path held before; predictions do so model by model."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,12 +28,21 @@ def write_features(df: DataFrame, path: str) -> str:
 
 
 def write_predictions(df: DataFrame, path: str) -> str:
-    """One Parquet table partitioned by model, so one variant can be read alone.
+    """One Parquet table partitioned by model; only the models that ``df`` has are replaced.
 
     Rows gather by model first, and a large model is split again, so that files are few and
-    of even size.
+    of even size.  The new files are written beside the table and take the place of a model's
+    old ones when all are complete; a write that fails leaves the table as it was.
     """
-    return write_parquet(df.hint("rebalance", "model"), path, ["model"])
+    writer = df.hint("rebalance", "model").write.mode("overwrite").partitionBy("model")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    return path
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written at the path to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
