@@ -4,12 +4,13 @@ Two tools cover every global-order operator:
 
 * ``keys_at`` finds the exact sort key of the k-th row by narrowing a histogram.  No row
   is shuffled; splits, folds and row caps then become plain filters on that key.
-* ``global_lag_totals`` range-partitions by the sort key, compares neighbours inside each
-  range, and stitches the ranges together through one summary row per range.
+* ``range_number`` tells each row its range from its sort key alone; ``global_lag_totals`` compares
+  neighbours inside each range and stitches the ranges together through one summary row per range.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -207,19 +208,42 @@ def label_folds(df: DataFrame, folds: list[Fold]) -> DataFrame:
     )
 
 
-def in_ranges(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """``columns`` plus ``range_id`` and ``place``: the table cut into consecutive ranges.
+SAMPLED_KEYS = 20  # for each range
+MOST_RANGES = 10_000
 
-    Spark's range partitioner picks the cuts on the whole sort key, so equal times spread
-    over several ranges.  Range ids ascend with the order; places ascend inside a range.
+
+def range_number(df: DataFrame, order: list[str], ranges: int | None = None) -> Column:
+    """Number of the range that a row belongs to, computed from its sort key alone.
+
+    Ranges are consecutive in the order and of about the same size: their ends are quantiles of a sample of whole
+    sort keys, chosen by hash, so equal leading values spread over several ranges.  A row's range is found by
+    bisection among the ends, which are a constant of the plan.
     """
-    return (
-        df.select(*order, *[c for c in columns if c not in order])
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("place", F.monotonically_increasing_id())
-        .select(F.shiftright("place", 33).alias("range_id"), "place", *columns)
-    )
+    if ranges is None:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(ranges, MOST_RANGES))
+    rows = df.count()
+    share = min(1.0, ranges * SAMPLED_KEYS / max(rows, 1))
+    picked = F.shiftrightunsigned(F.xxhash64(F.lit("range"), *order), 33) < F.lit(int(share * 2**31))
+    sample = sorted(tuple(r) for r in df.where(picked).select(*order).collect())
+    ends = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    if not ends:
+        return F.lit(0)
+    kinds = ", ".join(f"{c}: {df.schema[c].dataType.simpleString()}" for c in order)
+    known = F.from_json(F.lit(json.dumps([dict(zip(order, end)) for end in ends])), f"array<struct<{kinds}>>")
+    key = F.struct(*order)
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        beyond = F.coalesce(F.get(known, middle) <= key, F.lit(False))
+        return F.struct(
+            F.when(beyond, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(beyond, at["high"]).otherwise(middle).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(len(ends).bit_length() + 1))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(ends)).alias("high"))
+    return F.aggregate(steps, start, halve, lambda at: at["low"])
 
 
 def global_lag_totals(
@@ -230,8 +254,11 @@ def global_lag_totals(
     ``totals`` maps a name to an expression of the columns ``current`` and ``previous``;
     the first row of the table is paired with itself.
     """
-    ranges = in_ranges(df, order, [value]).withColumnRenamed(value, "current")
-    inside = W.partitionBy("range_id").orderBy("place")
+    narrow = df.select(*order, F.col(value).alias("current"))
+    ranges = narrow.withColumn("range_id", range_number(narrow, order))
+    # the only exchange of rows: the window and the aggregate both need them by range
+    inside = W.partitionBy("range_id").orderBy(*order)
+    key = F.struct(*order)
     summaries = (
         ranges.withColumn("previous", F.lag("current").over(inside))
         .groupBy("range_id")
@@ -240,12 +267,12 @@ def global_lag_totals(
                 F.sum(F.when(F.col("previous").isNotNull(), expr)).alias(name)
                 for name, expr in totals.items()
             ],
-            F.min_by("current", "place").alias("head"),
-            F.max_by("current", "place").alias("tail"),
+            F.min_by("current", key).alias("head"),
+            F.max_by("current", key).alias("tail"),
         )
     )
     # One row per range from here on, so an unpartitioned window is bounded by the
-    # number of shuffle partitions.
+    # number of ranges.
     across = W.orderBy("range_id")
     heads = summaries.withColumns(
         {

@@ -153,5 +153,5 @@ def accuracy_violation_study(
 ) -> tuple[DataFrame, DataFrame]:
     """Study rows per model, and the one-row correlation summary of r2 and violations."""
     rows = study_rows(results, metrics, threshold)
-    summary = correlation_summary(rows, "r2", "sla_violation_rate")
+    summary = correlation_summary(rows, "r2", "sla_violation_rate", per_model=True)
     return rows, summary.select(*C.STUDY_SUMMARY.fieldNames())

@@ -272,7 +272,7 @@ def accuracy_vs_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.correlation_summary(study_rows(spark, sf_dir), "r2", "sla_violation_rate")
+    return st.correlation_summary(study_rows(spark, sf_dir), "r2", "sla_violation_rate", per_model=True)
 
 
 def pearson_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,6 +290,22 @@ def correlation_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(summary, "pearson_p", "spearman_p")
 
 
+RANKED_FEATURES = ["priority", "hour_of_day", "avg_cpu_lag1", "avg_cpu_roll_mean6"]
+
+
+def feature_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pearson and Spearman of features with the target over all clean rows, ties included."""
+    rows = stored_features(spark, sf_dir)
+    parts = [
+        st.correlation_summary(rows, f, C.TARGET).select(F.lit(f).alias("feature"), "pearson_r", "spearman_r", "n")
+        for f in RANKED_FEATURES
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return _rounded(out, "pearson_r", "spearman_r")
+
+
 def accuracy_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = chartdata.accuracy_chart(study_rows(spark, sf_dir))
     return _rounded(points, "r2", "sla_violation_rate", "slope", "intercept", "pearson_r")
@@ -322,6 +338,14 @@ def series_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(trace, "t_min")
 
 
+SMALL_SAMPLE = 1000
+
+
+def scatter_sample_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = chartdata.scatter_sample(one_model(spark, sf_dir), SMALL_SAMPLE)
+    return _rounded(chosen, "r2", "lim_max")
+
+
 def scatter_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(chartdata.scatter_sample(one_model(spark, sf_dir)), "r2", "lim_max")
 
@@ -496,6 +520,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "busiest_series": busiest_series,
     "series_trace": series_trace,
     "scatter_sample": scatter_sample,
+    "scatter_sample_1000": scatter_sample_1000,
+    "feature_rank_correlation": feature_rank_correlation,
     "csv_round_trip": csv_round_trip,
     "json_summary": json_summary,
     "parquet_round_trip": parquet_round_trip,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from headroom import contracts as C
 from headroom.operators import trees
-from headroom.plans.catalog import CAPPED_ROWS, CURVES, GIVEN, TREE_DEPTH
+from headroom.plans.catalog import CAPPED_ROWS, CURVES, GIVEN, RANKED_FEATURES, SMALL_SAMPLE, TREE_DEPTH
 
 _ORDER = "start_time, collection_id, instance_index, row_id"
 _KEEP = "row_id, collection_id, instance_index, start_time"
@@ -232,6 +232,19 @@ _ELEMENTS = [
 _OUTCOME = _round("sla_violation_rate", "over_provision_cost")
 _SURPLUS = "sum(greatest(supply - actual_cpu, 0.0::DOUBLE)) / sum(actual_cpu)"
 
+
+
+def _sample(n: int) -> str:
+    """The ``n`` rows with the smallest MD5 of seed and key."""
+    return _with(
+        ["pred_v"],
+        f"""SELECT actual_cpu AS actual, predicted_cpu AS predicted,
+                   round(greatest(max(actual_cpu) OVER (), max(predicted_cpu) OVER ()) * 1.05::DOUBLE, 6) AS lim_max,
+                   round(corr(actual_cpu, predicted_cpu) OVER () ** 2, 6) AS r2
+            FROM (SELECT * FROM pred_v WHERE model = 'lag1' ORDER BY md5('{C.SEED}:' || row_id) LIMIT {n})""",
+    )
+
+
 ORACLE = {
     "usage_scan_7d": _with(
         ["week_v"],
@@ -379,14 +392,18 @@ ORACLE = {
                       ORDER BY start_time, row_id LIMIT {C.TRACE_ROWS}) p)
             WHERE shown >= {C.TRACE_MIN_ROWS}""",
     ),
-    # Up to SAMPLE_ROWS rows the sample is the whole test set, whatever the hash.
-    "scatter_sample": _with(
-        ["pred_v"],
-        """SELECT actual_cpu AS actual, predicted_cpu AS predicted,
-                  round(greatest(max(actual_cpu) OVER (), max(predicted_cpu) OVER ()) * 1.05::DOUBLE, 6)
-                      AS lim_max,
-                  round(corr(actual_cpu, predicted_cpu) OVER () ** 2, 6) AS r2
-           FROM pred_v WHERE model = 'lag1'""",
+    "scatter_sample": _sample(C.SAMPLE_ROWS),
+    "scatter_sample_1000": _sample(SMALL_SAMPLE),
+    "feature_rank_correlation": _with(
+        ["clean_v"],
+        " UNION ALL ".join(
+            f"""SELECT '{f}' AS feature, {_round("pearson_r", "spearman_r")}, n FROM (
+                SELECT corr(x, y) AS pearson_r, corr(rx, ry) AS spearman_r, count(*) AS n FROM (
+                    SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2::DOUBLE AS rx,
+                           rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2::DOUBLE AS ry
+                    FROM (SELECT CAST({f} AS DOUBLE) AS x, {C.TARGET} AS y FROM clean_v)))"""
+            for f in RANKED_FEATURES
+        ),
     ),
     "csv_round_trip": _with(["grid_v"], f"SELECT model, threshold, {_OUTCOME} FROM grid_v"),
     "json_summary": _with(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from headroom.operators import features as fe
 from headroom.operators.context import events_context, join_context
+from headroom.operators.joins import split_join
 from headroom.operators.series import SeriesCuts, find_cuts
 from headroom.plans import catalog
 from tests.conftest import SF_SMALL
@@ -110,3 +111,45 @@ def test_clean_table_has_nothing_missing(spark, small):
     assert set(holes.first()) == {0}
     report = fe.null_drop_report(fe.featured_usage(*small)).first()
     assert report["rows_before"] == 1000 and report["rows_after"] == clean.count() == 713
+
+
+def test_split_join_equals_a_plain_one(spark):
+    """Half of the rows have one key; another frequent key has no partner, and so have null keys."""
+    left = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, 1).when(F.col("id") % 3 == 0, 2).when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).alias("k"), F.lit("x").alias("m"))
+    right = spark.range(3000).where("id <> 2").select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"), F.lit(None).cast("string").alias("w"))
+    plain = left.join(right, ["k"], "left").select("id", "k", "m", "v", "w")
+    for floor in (10, 10**6):
+        got = split_join(left, right, ["k"], floor=floor, factor=0.5)
+        assert sorted(map(tuple, got.select(*plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_split_join_spreads_a_frequent_key(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
+        right = spark.range(40_000).select(F.col("id").alias("k"), F.lit(5).alias("v"))
+        joined = split_join(left, right, ["k"], floor=1000, factor=0.5)
+        plan = _plan(joined)
+        assert "BroadcastHashJoin" in plan, plan
+        assert "SortMergeJoin" in plan, plan
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2 * 40_000 / 8, sizes
+        assert joined.where("v = 5").count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_context_is_hashed_not_sorted(spark, small):
+    plan = _plan(events_context(small[1]))
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_extreme_times_keep_their_order(spark):
+    far = 2**63 - 1
+    rows = [event(-far, 0, 1, 10), event(far, 0, 2, 20)]
+    rows += [event(-far, 0, 3, 30, (2, 0)), event(-far + 1, 0, 0, 40, (2, 0))]
+    rows += [event(-far, 1, 2**60 - 1, 50, (3, 0)), event(None, 0, 0, 60, (3, 0))]
+    got = {r["collection_id"]: r["priority"] for r in events_context(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 20, 2: 40, 3: 50}

@@ -147,4 +147,24 @@ def test_raw_rows_never_meet_in_one_task(spark):
     plan = policy.reactive_global(df)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("SinglePartition") :]
     # what reaches the single partition has been aggregated to one row per range
-    assert below.index("HashAggregate") < below.index("Window")
+    assert below.index("Aggregate") < below.index("Window [")
+
+
+def test_rows_are_exchanged_once(spark):
+    df, _ = table(spark, 400, [0, 300])
+    plan = policy.reactive_global(df)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line and "RoundRobin" not in line]
+    # by range, then one row a range
+    assert sum("hashpartitioning(range_id" in line for line in exchanges) == 1
+    assert all("range_id" in line or "SinglePartition" in line for line in exchanges)
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
+def test_ranges_follow_the_order(spark, ranges):
+    df, rows = table(spark, 3000, [0, 0, 0, 300])
+    order = ["start_time", "collection_id", "instance_index", "row_id"]
+    got = df.select(*order, ordering.range_number(df, order, ranges).alias("range")).orderBy(*order).collect()
+    numbers = [r["range"] for r in got]
+    assert numbers == sorted(numbers) and len(set(numbers)) == ranges
+    # ties of the leading column are spread as well
+    assert max(numbers.count(i) for i in set(numbers)) < 4 * 3000 / ranges + 1

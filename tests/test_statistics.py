@@ -67,6 +67,64 @@ def test_p_value_equals_the_integral(spark, n, r):
     assert p == pytest.approx(_t_tail(r, n), abs=1e-9)
 
 
+def _finite_sum(r, n):
+    """The t distribution function for whole degrees of freedom: a finite trigonometric sum."""
+    dof, c2 = n - 2, 1 - r * r
+    if dof % 2:
+        term, total = math.sqrt(c2), 0.0
+        for k in range(1, (dof - 1) // 2 + 1):
+            total += term
+            term *= c2 * 2 * k / (2 * k + 1)
+        return 1 - 2 / math.pi * (math.asin(abs(r)) + abs(r) * total)
+    term, total = 1.0, 0.0
+    for k in range(1, dof // 2 + 1):
+        total += term
+        term *= c2 * (2 * k - 1) / (2 * k)
+    return 1 - abs(r) * total
+
+
+def test_p_value_equals_the_finite_sum(spark):
+    cases = [(r, n) for n in [*range(3, 40), 77, 100, 151, 199, 200] for r in (0.0, 1e-6, 0.01, -0.1, 0.3, 0.5, -0.8, 0.97, 0.9999, 1.0)]
+    df = spark.createDataFrame(cases, "r double, n long")
+    for row in df.select("r", "n", st.two_sided_p(F.col("r"), F.col("n")).alias("p")).collect():
+        assert row["p"] == pytest.approx(_finite_sum(row["r"], row["n"]), abs=1e-10), row
+
+
+@pytest.mark.parametrize("n", [10_000, 10**6, 10**9])
+def test_p_value_of_many_rows(spark, n):
+    """Close to the normal law, with its first corrections for the degrees of freedom."""
+    cases = [z / math.sqrt(n) for z in (0.001, 0.5, 1.0, 1.7, 2.0, 3.5, 6.0)]
+    got = spark.createDataFrame([(r,) for r in cases], "r double").select("r", st.two_sided_p(F.col("r"), F.lit(n)).alias("p")).collect()
+    for row in got:
+        t = row["r"] * math.sqrt((n - 2) / (1 - row["r"] ** 2))
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        normal = math.erfc(t / math.sqrt(2)) + 2 * density * ((t**3 + t) / 4 / (n - 2) + (3 * t**7 - 7 * t**5 - 5 * t**3 - 3 * t) / 96 / (n - 2) ** 2)
+        assert row["p"] == pytest.approx(normal, abs=1e-10)
+
+
+def test_ranks_of_a_large_table(spark):
+    """A third of the rows share one value."""
+    df = spark.range(100_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise((F.xxhash64("id") % 20_000) / 20_000.0).alias("v"))
+    df = df.withColumn("v", F.when(F.col("id") % 1000 != 7, F.col("v")))
+    got = {r["id"]: r["rank"] for r in st.average_ranks(df, "v", "rank").collect()}
+    values = sorted((r["v"], r["id"]) for r in df.where("v is not null").collect())
+    want, i = {}, 0
+    while i < len(values):
+        j = i
+        while j < len(values) and values[j][0] == values[i][0]:
+            j += 1
+        want |= {key: (i + 1 + j) / 2 for _, key in values[i:j]}
+        i = j
+    assert {k: v for k, v in got.items() if v is not None} == want and len(got) == 100_000
+
+
+def test_no_single_task_ranks_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 100).cast("double").alias("v"))
+    plan = st.average_ranks(df, "v", "rank")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("SinglePartition") :]
+    assert "HashAggregate(keys=[range_id" in below and "Window" not in below
+
+
 def test_perfect_correlation(spark):
     r = summary(spark, [1.0, 2.0, 3.0, 4.0], [2.0, 4.0, 6.0, 8.0])
     assert r["pearson_r"] == pytest.approx(1.0) and r["pearson_p"] == pytest.approx(0.0, abs=1e-7)

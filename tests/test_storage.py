@@ -111,8 +111,11 @@ def test_predictions_are_read_by_partition(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(model" in got._jdf.queryExecution().executedPlan().toString() or (
         "PartitionFilters: [model" in got._jdf.queryExecution().executedPlan().toString()
     )
-    sinks.write_predictions(spark.createDataFrame(rows[:1], C.PREDICTIONS), path)
-    assert tables.read_predictions(spark, path).count() == 1
+    # a later write replaces the models that it has, and no other
+    again = [("a", 1, 1, 0, 1, 0.1, 0.9, 0.3, i) for i in (7, 8)]
+    sinks.write_predictions(spark.createDataFrame(again, C.PREDICTIONS), path)
+    left = tables.read_predictions(spark, path).collect()
+    assert sorted((r["model"], r["row_id"]) for r in left) == [("a", 7), ("a", 8), ("b", 1), ("c", 2)]
 
 
 class _Session:
