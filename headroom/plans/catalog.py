@@ -268,7 +268,8 @@ def study_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accuracy_vs_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(study(spark, sf_dir)[0], "r2", *OUTCOME)
+    rows = policy.study_rows(results(spark, sf_dir), metrics(spark, sf_dir))
+    return _rounded(rows, "r2", *OUTCOME)
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
