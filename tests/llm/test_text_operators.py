@@ -59,7 +59,6 @@ def test_perfect_hash_is_minimal_and_recognises_strangers():
 def test_token_files_hold_the_librarys_ids_in_order(spark):
     df, pairs = documents(spark)
     tokenizer = Tokenizer.from_file(catalog.WORD_BPE)
-    tokenizer.encode_special_tokens = True
     folder = fresh_path(spark, "tokens")
     tokenfiles.write(df, folder, catalog.WORD_BPE, end=2)
     got, start = rows(tokenfiles.summary(spark, folder)), 0
