@@ -1,12 +1,21 @@
-"""Classes of similar things from buckets of candidates, without all pairs of a bucket.
+"""Classes of similar things from buckets of candidates.
 
-``link`` compares the members of a bucket with a few centers of it and repeats with more centers until
-nothing is open.  A member is settled in a bucket once it is linked to one of its centers and to no
-center of another class is it as near as a common neighbour would allow: distances are metric, so two
-things with a common neighbour have a similarity of at least ``2 * threshold - 1``.  Members that are
-not settled become centers themselves, and a bucket is done when all of it is one class.  So every two
-members that are similar end in one class.  Centers multiply in each round, which bounds the number of
-rounds by the logarithm of the largest bucket.
+Two things are candidates if they share two keys, or one key that few have.  So a key of more than ``FEW``
+members stands for nothing by itself: its members meet under every two such keys they have, and those that
+have one only, unlike members of one frequent passage above all, don't meet.
+
+``link`` compares the members of a bucket with its center, the member with the most company, and repeats
+with more centers until nothing is open.  A member is settled in a bucket once it is linked to one of its
+centers and is to no center of another class as near as a common neighbour would allow: distances are metric,
+so two things with a common neighbour have a similarity of at least ``2 * threshold - 1``.  A center
+without any link has no neighbours to care for.  Members that are not settled become centers themselves, and
+a bucket is done when all of it is one class.  So every two candidates that are similar end in one
+class.  Two members whose similarities to the first center differ by more than ``1 - threshold`` can't be similar
+and are never compared.  Centers multiply in each round, which bounds the number of rounds by the logarithm
+of the largest bucket.
+
+Members of a bucket that are unlike all others are compared with all they could be similar to: the number of
+pairs still grows with the square of their number where they share two frequent keys.
 
 ``components`` finds connected components by large and small stars.  Edges never come to the driver,
 which sees counts only.  Tables between rounds are written to the shared folder.
@@ -23,6 +32,8 @@ from headroom.sources.staging import stage
 
 #: How many times more centers a bucket has in the next round.
 CENTERS = 16
+#: A key of more members counts in company with another one only.
+FEW = 32
 #: The filter in front of a join has this many words of 64 bits.
 FILTER_WORDS_BITS = 20
 
@@ -73,10 +84,32 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _of_several(members: DataFrame, name: str) -> DataFrame:
+    """Rows whose key has several nodes, with ``size``, the number of its rows."""
+    shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
+    shared = stage(shared.where("low < high").select("key", "size"), name)
+    return among(members, "key", shared, "key").join(shared, "key")
+
+
+def meetings(members: DataFrame) -> DataFrame:
+    """``key``, ``node`` and ``company`` of all buckets in which candidates meet.
+
+    A node has as many keys as it has bands, so what is gathered by node is small.
+    """
+    by_node = _of_several(members, "shared").groupBy("node").agg(F.collect_set(F.struct("key", "size")).alias("keys"))
+    few = F.transform(F.filter("keys", lambda k: k["size"] <= FEW), lambda k: k["key"])
+    frequent = F.transform(F.filter("keys", lambda k: k["size"] > FEW), lambda k: k["key"])
+    by_node = by_node.select("node", few.alias("few"), frequent.alias("frequent"), F.aggregate("keys", F.lit(0).cast("long"), lambda n, k: n + k["size"]).alias("company"))
+    two = F.flatten(F.transform("frequent", lambda x: F.transform(F.filter("frequent", lambda y: y > x), lambda y: F.xxhash64(x, y))))
+    met = stage(by_node.select("node", "company", F.explode(F.concat("few", two)).alias("key")), "meetings")
+    return _of_several(met, "shared").select("key", "node", "company")
+
+
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members with ``root``, and ``single``, whether they are linked to nothing."""
     if roots is None:
-        return members.select("key", "node", F.col("node").alias("root"))
-    return members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        return members.withColumns({"root": F.col("node"), "single": F.lit(True)})
+    return members.join(roots, "node", "left").withColumns({"single": F.col("root").isNull(), "root": F.coalesce("root", "node")})
 
 
 def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
@@ -84,13 +117,15 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshol
 
     ``members`` has ``key`` and ``node`` (long); ``compare`` adds ``sim`` to pairs ``a`` < ``b``.
     """
-    shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    shared = stage(shared, "shared")
-    members, n, _ = staged(among(members, "key", shared, "key").join(shared, "key").distinct(), "members")
+    members, n, _ = staged(meetings(members), "members")
+    # similarity to the first center of the bucket, once there is one
+    members = members.withColumn("first", F.lit(None).cast("double"))
     unsettled, roots, round_ = members, None, 0
     compared = centers = None
+    # rounding must not tell apart what could be similar
+    apart = 1 - threshold + 1e-9
     while n:
-        order = F.xxhash64("node", F.lit(round_))
+        order = F.struct(-F.col("company"), F.xxhash64("node"), "node")
         if round_ == 0:
             chosen = unsettled.groupBy("key").agg(F.min_by("node", order).alias("center"))
         else:
@@ -98,8 +133,9 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshol
             chosen = unsettled.withColumn("rank", rank).where(F.col("rank") <= CENTERS**round_).select("key", F.col("node").alias("center"))
         chosen = stage(chosen, "centers")
         rooted = _rooted(members, roots)
-        facing = chosen.join(rooted.select("key", F.col("node").alias("center"), F.col("root").alias("center_root")), ["key", "center"]) if roots is not None else chosen.withColumn("center_root", F.col("center"))
-        pairs = rooted.join(facing, "key").where("root <> center_root").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+        facing = _facing(chosen, rooted)
+        pairs = rooted.join(facing, "key").where("root <> center_root").where(F.coalesce(F.abs(F.col("first") - F.col("center_first")) <= apart, F.lit(True)))
+        pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         new = compare(stage(pairs, "pairs")).select("a", "b", "sim")
@@ -112,15 +148,24 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshol
         rooted = _rooted(members, roots)
         several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         rooted = stage(rooted.join(several, "key"), "rooted")
-        facing = centers.join(rooted.select("key", F.col("node").alias("center"), F.col("root").alias("center_root")), ["key", "center"])
-        met = rooted.join(facing, "key").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")}).join(compared, ["a", "b"], "left")
-        near = F.coalesce(F.col("sim"), F.lit(0.0))
+        met = rooted.join(_facing(centers, rooted), "key").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")}).join(compared, ["a", "b"], "left")
+        # a pair not compared is as near as the first center allows
+        bound = F.when(F.col("root") == F.col("center_root"), F.lit(0.0)).otherwise(F.coalesce(1 - F.abs(F.col("first") - F.col("center_first")) + 1e-9, F.lit(0.0)))
         met = met.groupBy("key", "node").agg(
+            F.first("company").alias("company"),
+            F.coalesce(F.first("first"), F.max(F.when(F.col("node") == F.col("center"), F.lit(1.0)).otherwise(F.col("sim")))).alias("first"),
             F.max(F.col("node") == F.col("center")).alias("was_center"),
-            F.max(near >= threshold).alias("linked"),
-            F.max((near >= 2 * threshold - 1) & (F.col("root") != F.col("center_root"))).alias("border"),
+            F.max(F.coalesce("sim", F.lit(0.0)) >= threshold).alias("linked"),
+            F.max((F.coalesce("sim", bound) >= 2 * threshold - 1) & (F.col("root") != F.col("center_root")) & ~F.col("center_single")).alias("border"),
         )
-        unsettled, n, _ = staged(met.where(~F.col("was_center") & (~F.col("linked") | F.col("border"))).select("key", "node"), "unsettled")
-        members = rooted.select("key", "node")
+        met = stage(met, "met")
+        unsettled, n, _ = staged(met.where(~F.col("was_center") & (~F.col("linked") | F.col("border"))).select("key", "node", "company"), "unsettled")
+        members = met.select("key", "node", "company", "first")
         round_ += 1
     return roots
+
+
+def _facing(centers: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Centers with what is known of them as members of their buckets."""
+    names = {"node": "center", "root": "center_root", "first": "center_first", "single": "center_single"}
+    return centers.join(rooted.select("key", *(F.col(a).alias(b) for a, b in names.items())), ["key", "center"])

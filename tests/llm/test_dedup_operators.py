@@ -132,6 +132,8 @@ def test_line_candidates_find_nearly_all_similar_pairs():
             pairs.append((line, other))
     x, y = (keys_of([p[i] for p in pairs]) for i in (0, 1))
     assert sum(bool(a & b) for a, b in zip(x, y)) >= 0.95 * len(pairs)
+    # nearly all share two keys, which is what counts where keys are frequent
+    assert sum(len(a & b) > 1 for a, b in zip(x, y)) >= 0.95 * len(pairs)
 
 
 @pytest.mark.parametrize(
@@ -178,6 +180,45 @@ def test_similar_lines_by_cluster_chain_end_in_one_class(spark):
     assert linking.link(members.limit(0), compare, 0.8) is None
 
 
+def test_unlike_members_of_a_frequent_key_do_not_meet(spark):
+    # all share key 7; three groups of 40 share key 8, 9 or 10 too, and are alike inside their group
+    n = 2_000
+    rows_ = [(7, k) for k in range(n)] + [(8 + k % 3, k) for k in range(120)]
+    # two that share a key that few have
+    rows_ += [(11, 500), (11, 501)]
+    asked = []
+
+    def compare(pairs):
+        asked.append(pairs.count())
+        alike = ((F.col("a") < 120) & (F.col("b") < 120) & (F.col("a") % 3 == F.col("b") % 3)) | ((F.col("a") == 500) & (F.col("b") == 501))
+        return pairs.withColumn("sim", F.when(alike, 0.9).otherwise(0.1))
+
+    got = {r["node"]: r["root"] for r in linking.link(spark.createDataFrame(rows_, "key long, node long"), compare, 0.8).collect()}
+    assert got == {k: k % 3 for k in range(120)} | {500: 500, 501: 500}
+    assert sum(asked) == 3 * 39 + 1
+
+
+def test_members_of_frequent_keys_are_linked_as_all_their_pairs(spark):
+    # points on a line under two frequent keys: similarity falls with distance, which is a metric
+    random.seed(17)
+    at = sorted(random.uniform(0, 6) for _ in range(150))
+    members = spark.createDataFrame([(key, k) for key in (1, 2) for k in range(len(at))], "key long, node long")
+    place = spark.createDataFrame(list(enumerate(at)), "node long, x double")
+
+    def compare(pairs):
+        both = pairs.join(place.toDF("a", "xa"), "a").join(place.toDF("b", "xb"), "b")
+        return both.select("a", "b", F.greatest(F.lit(0.0), 1 - F.abs(F.col("xa") - F.col("xb")) * 4).alias("sim"))
+
+    expected, root = {}, 0
+    for k, x in enumerate(at):
+        if k and 1 - (x - at[k - 1]) * 4 < 0.8:
+            root = k
+        expected[k] = root
+    sizes = collections.Counter(expected.values())
+    got = {r["node"]: r["root"] for r in linking.link(members, compare, 0.8).collect()}
+    assert got == {k: r for k, r in expected.items() if sizes[r] > 1}
+
+
 def test_components_equal_union_find(spark):
     random.seed(2)
     edges = [(random.randrange(120), random.randrange(120)) for _ in range(70)] + [(k, k + 1) for k in range(500, 540)]
