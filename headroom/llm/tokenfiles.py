@@ -192,7 +192,9 @@ def with_offsets(rows: DataFrame, key: str) -> DataFrame:
     Sums by file are few; running sums stay within a file, whose size is bounded.
     """
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # by number, since the name of file 100000 sorts before that of 99999
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("file").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))

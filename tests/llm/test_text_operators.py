@@ -235,3 +235,9 @@ def test_conversations_read_back(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
     plain = spark.createDataFrame([("no turns",), ("<s>user[INST]hi[/INST]",), ("<s>user[INST]hi[/INST]</s>x",)], "t string")
     assert [r[0] for r in plain.select(chat.parse(F.col("t"))).collect()] == [None, None, None]
+
+
+def test_files_beyond_five_digits_follow_the_others(spark):
+    made = [(1, 5, "part-00007-x-c000.parquet"), (2, 6, "part-99999-x-c000.parquet"), (3, 7, "part-100000-x-c000.parquet"), (4, 8, "part-100000-x-c000.parquet")]
+    got = rows(tokenfiles.with_offsets(spark.createDataFrame(made, "doc_id long, n_tokens long, file string"), "doc_id"))
+    assert [got[k]["start"] for k in (1, 2, 3, 4)] == [0, 5, 11, 18]
