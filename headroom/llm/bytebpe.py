@@ -6,8 +6,8 @@ read.  Pre-tokens of a block are reduced to distinct ones; those that are tokens
 vocabulary are found all at once in the perfect hash, and each of the others is merged once per
 block or taken from a bounded cache.
 
-Null texts count as empty and have no tokens.  Rows are independent, so repeated rows, clashing
-names of other columns and empty tables need no special care.
+Null texts count as empty and have no tokens.  Rows are independent, so repeated rows and empty tables need no
+special care.  An input column named like ``output`` gives way to it.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from headroom.llm import words
+from headroom.llm.aside import Aside
 
 #: Merged pre-tokens that a worker process remembers; the cache is emptied when full.
 CACHED = 400_000
@@ -262,15 +263,14 @@ def codec(path: str, pattern: str) -> Codec:
     return made[path, pattern]
 
 
-def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"the table has a column {name} already; choose another name")
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def _with(own: Aside, run, name: str, kind: T.DataType) -> DataFrame:
+    return own.back(own.rows.mapInArrow(run, T.StructType([*own.rows.schema.fields, T.StructField(name, kind)])), name)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", output: str = "ids") -> DataFrame:
     """All columns and the ids of ``text`` (null: none), as the rank file's BPE gives them."""
-    return df.mapInArrow(_encoder(path, pattern, text, output), _added(df, output, T.ArrayType(T.IntegerType())))
+    own = Aside(df)
+    return _with(own, _encoder(path, pattern, own.of(text), output), output, T.ArrayType(T.IntegerType()))
 
 
 def _encoder(path: str, pattern: str, text: str, output: str):
@@ -286,6 +286,8 @@ def _encoder(path: str, pattern: str, text: str, output: str):
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """All columns and the bytes that the ids stand for (null: none)."""
+    aside = Aside(df)
+    ids = aside.of(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -294,7 +296,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", output: str
             decoded = pa.array([own.decode(x or []) for x in lists.to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, output])
 
-    return df.mapInArrow(run, _added(df, output, T.BinaryType()))
+    return _with(aside, run, output, T.BinaryType())
 
 
 ROUND_TRIP = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint"

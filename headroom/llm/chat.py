@@ -13,7 +13,8 @@ Expressions only: rows are rendered where they are read, and one shuffle by conv
 segments together, as the text of a conversation is one value.
 
 Null roles and texts count as empty.  Turns are ordered by turn (null first), then role and text, so
-repeated rows stay and have a fixed order.  A null id is a conversation of its own.
+repeated rows stay and have a fixed order.  A null id is a conversation of its own.  Input columns named like
+those that ``format_turns`` adds give way to them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headroom.llm.aside import Aside
+
 #: The control strings of the template.
 OPEN, BODY, BODY_END, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]"
@@ -76,12 +79,10 @@ def format_turns(df: DataFrame, role: str = "role", text: str = "text") -> DataF
     The loss mask covers the text of the assistant's turns, as a range of code points of the segment;
     other turns have an empty range.
     """
-    added = {"segment", "loss_start", "loss_stop", "escaped"}
-    if added & set(df.columns):
-        raise ValueError(f"the table has columns named {sorted(added & set(df.columns))} already")
-    role_, text_ = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
+    own = Aside(df)
+    role_, text_ = (F.coalesce(F.col(own.of(c)), F.lit("")) for c in (role, text))
     plain = _reads_back(render(role_, text_), role_, text_)
-    out = df.withColumn("escaped", ~plain)
+    out = own.rows.withColumn("escaped", ~plain)
     role_shown = F.when(F.col("escaped"), escape(role_)).otherwise(role_)
     text_shown = F.when(F.col("escaped"), escape(text_)).otherwise(text_)
     shown = render(role_shown, text_shown)
@@ -89,7 +90,7 @@ def format_turns(df: DataFrame, role: str = "role", text: str = "text") -> DataF
     start = F.length(role_shown) + len(OPEN) + len(BODY)
     start = F.when(role_ == "assistant", start).otherwise(F.lit(0))
     stop = F.when(role_ == "assistant", start + F.length(text_shown)).otherwise(F.lit(0))
-    return out.withColumns({"segment": kept, "loss_start": start, "loss_stop": stop})
+    return own.back(out.withColumns({"segment": kept, "loss_start": start, "loss_stop": stop}), "segment", "loss_start", "loss_stop", "escaped")
 
 
 def format_conversations(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -10,16 +10,19 @@ together, and a stretch breaks wherever two neighbours stand side by side in no
 
 The items are broadcast in shards of about ``SHARD_WORDS`` words, and every document passes through
 one automaton after the other, without a shuffle; an item longer than that makes a shard of its
-own size.
+own size.  After every ``CHAINED`` shards the table is written, so driver and tasks hold no more of a
+benchmark at once, however large it is.  A process builds a shard's automaton once.
 
 Null texts and empty texts have no words; null items and items without words match nothing.
 Repeated items count once by their id, items without id are hit but not listed.  Repeated documents
-are independent rows.
+are independent rows.  Input columns named like an added one give way to it in ``find_hits``; ``remove_hits``
+leaves all but the text as they are.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headroom.llm import words
+from headroom.llm.aside import Aside
+from headroom.sources.staging import stage
 
 SHARD_WORDS = 100_000
+#: At most so many shards are alive at once; then the table is written.
+CHAINED = 4
 ADDED = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -204,9 +211,20 @@ def _shards(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[s
         yield [(r["item"], item_words(r["text"])) for r in numbered.where(F.col("shard") == shard).select("item", "text").collect()]
 
 
+def _kept_automaton(name: str, items, window: int) -> Automaton:
+    """The automaton of a shard, built once in a process; a process keeps the one it used last."""
+    kept = words.kept_in_process("automaton", dict)
+    if name not in kept:
+        kept.clear()
+        kept[name] = Automaton(items, window)
+    return kept[name]
+
+
 def _scanner(items, window: int, text: str, again: bool):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Automaton(items, window)
+        own = _kept_automaton(name, items, window)
         for batch in batches:
             for block in words.blocks(batch, text):
                 found = words.find_words(words.strings(block, text), words.ALPHANUMERIC, lower=True)
@@ -241,13 +259,13 @@ def _scanner(items, window: int, text: str, again: bool):
 
 def find_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """All columns, ``n_words``, ``hit_spans`` (ranges of words) and ``hit_items`` (sorted ids)."""
-    clash = set(df.columns) & set(ADDED.names)
-    if clash:
-        raise ValueError(f"the table has columns named {sorted(clash)} already")
-    out, schema = df, T.StructType([*df.schema.fields, *ADDED.fields])
+    own = Aside(df)
+    out, schema = own.rows, T.StructType([*own.rows.schema.fields, *ADDED.fields])
     for n, items in enumerate(_shards(benchmark, item, item_text)):
-        out = out.mapInArrow(_scanner(items, window, text, again=n > 0), schema)
-    return out
+        if n and n % CHAINED == 0:
+            out = stage(out, "hits")
+        out = out.mapInArrow(_scanner(items, window, own.of(text), again=n > 0), schema)
+    return own.back(out, *ADDED.names)
 
 
 def hit_words() -> F.Column:
@@ -261,9 +279,10 @@ def remove_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage:
     A document of whose words more than the share ``coverage`` are hit goes; from the others every
     hit is cut out, from its first word's first byte to its last word's last byte.
     """
-    hits = find_hits(df, benchmark, window, text, **names)
+    own = Aside(df)
+    text, columns = own.of(text), own.numbers
+    hits = find_hits(own.rows, benchmark, window, text, **names)
     hits = hits.where(hit_words() <= coverage * F.col("n_words"))
-    columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,4 +298,4 @@ def remove_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage:
                     texts[t] = b"".join([*kept, raw[end:]]).decode()
             yield batch.set_column(at, text, pa.array(texts, pa.string())).select(columns)
 
-    return hits.mapInArrow(run, df.schema)
+    return own.back(hits.mapInArrow(run, own.rows.schema))

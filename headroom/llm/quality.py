@@ -10,7 +10,9 @@ only.  The list becomes one ordered conditional expression.
 Learning uses at most about ``SAMPLE_ROWS`` labelled rows; statistics and verdicts cover every row.
 
 Null texts have no words, so they fail the base rules like other texts of under 20 words.  With no
-labels, or labels of one kind, the list is empty and only the base rules decide.
+labels, or labels of one kind, the list is empty and only the base rules decide.  Rows are judged one by one,
+so repeated rows have equal verdicts and an empty table has none.  Input columns named like an added one give way to it
+in ``judge``; ``keep`` leaves all of them as they are.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headroom.llm.aside import Aside
 from headroom.llm.chat import let
 from headroom.llm.sampling import labelled_sample
 from headroom.sources.staging import stage
@@ -91,11 +94,9 @@ def statistics(text: Column) -> Column:
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns, the base counts, ``base_failed``, and ``features``, a struct of shares."""
-    clash = (set(BASE) | {"base_failed", "features", "_stats"}) & set(df.columns)
-    if clash:
-        raise ValueError(f"the table has columns named {sorted(clash)} already")
-    df = df.withColumn("_stats", statistics(F.col(text)))
-    s = F.col("_stats")
+    own = Aside(df)
+    rows = own.rows.withColumn("stats", statistics(F.col(own.of(text))))
+    s = F.col("stats")
     words = F.greatest(s["words"]["n_words"], F.lit(1))
     chars = F.greatest(s["words"]["word_chars"], F.lit(1))
     features = F.struct(
@@ -109,7 +110,8 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     )
     counts = {c: s["words"][c] if c in ("n_words", "word_chars", "n_repeat_words") else s[c] for c in BASE}
     failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"])
-    return df.select(*df.columns, *(c.alias(name) for name, c in counts.items()), failed.alias("base_failed"), features.alias("features")).drop("_stats")
+    out = rows.select(*own.numbers, *(c.alias(name) for name, c in counts.items()), failed.alias("base_failed"), features.alias("features"))
+    return own.back(out, *BASE, "base_failed", "features")
 
 
 @dataclass(frozen=True)
@@ -208,4 +210,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def judge(df: DataFrame, rules: list[list[Condition]], text: str = "text") -> DataFrame:
     """All columns, the statistics, ``base_failed`` and ``kept``."""
-    return with_statistics(df, text).withColumn("kept", ~F.col("base_failed") & ~rejected(rules)).drop("features")
+    own = Aside(df)
+    judged = with_statistics(own.rows, own.of(text)).withColumn("kept", ~F.col("base_failed") & ~rejected(rules))
+    return own.back(judged, *BASE, "base_failed", "kept")
+
+
+def keep(df: DataFrame, rules: list[list[Condition]], text: str = "text") -> DataFrame:
+    """The rows that are kept, with the table's own columns and no others."""
+    own = Aside(df)
+    return own.back(judge(own.rows, rules, own.of(text)).where("kept"))

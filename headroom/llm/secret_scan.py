@@ -11,7 +11,8 @@ Flagged stretches, and they alone, are walked again for the kinds flagged, with
 the bare rule, to place its leftmost matches that don't overlap; matches that are too short are
 dropped, as they would be by a regular-expression search followed by a filter.
 
-Null texts count as empty and have no spans.  Rows are independent.
+Null and empty texts have no spans; a text of any length is one array of bytes, read once.  Rows are independent.
+An input column named like ``output`` gives way to it.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from headroom.llm import words
+from headroom.llm.aside import Aside
 
 
 @dataclass(frozen=True)
@@ -347,15 +349,15 @@ def _listed(spans, rules) -> str:
 
 def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", output: str = "secrets") -> DataFrame:
     """All columns and ``secrets``: structs of kind, start and stop (code points, stop exclusive)."""
-    if output in df.columns:
-        raise ValueError(f"the table has a column {output} already; choose another name")
+    own = Aside(df)
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
 
     def columns(found):
         return {output: pa.array([[{"kind": rules[r].kind, "start": a, "stop": b} for a, r, b in spans] for spans in found], kind)}
 
-    return _scan(df, rules, text, df.columns, columns, T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(span))]))
+    schema = T.StructType([*own.rows.schema.fields, T.StructField(output, T.ArrayType(span))])
+    return own.back(_scan(own.rows, rules, own.of(text), own.numbers, columns, schema), output)
 
 
 def secret_report(df: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[Rule, ...] = MORE_RULES) -> DataFrame:

@@ -13,7 +13,9 @@ rows in one pass without a shuffle.
 
 Null and empty texts have no features and get the score of the bias alone.  Without any labelled
 row, or with labels of one kind only, all scores are the share of toxic labels (0 if there are
-none).  Labels that are null are left out; a repeated label row counts as often as it stands there.
+none).  Labels that are null, or of no document, are left out; a repeated label row counts as often as it stands there.
+Scores hang on the text alone, so repeated rows have equal ones and a null id is scored like any other.  An input column
+named like ``output`` gives way to it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headroom.llm import words
+from headroom.llm.aside import Aside
 
 BITS = 20
 SAMPLE_ROWS = 20_000
@@ -121,8 +124,8 @@ def train(sample: DataFrame, bits: int = BITS, shards: int = SHARDS, epochs: int
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
     """All columns and the probability that the text is toxic."""
-    if output in df.columns:
-        raise ValueError(f"the table has a column {output} already; choose another name")
+    own = Aside(df)
+    text = own.of(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << model.bits)
@@ -136,4 +139,5 @@ def score(df: DataFrame, model: Model, text: str = "text", output: str = "score"
                 p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*block.columns, pa.array(p)], names=[*block.schema.names, output])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())]))
+    scored = own.rows.mapInArrow(run, T.StructType([*own.rows.schema.fields, T.StructField(output, T.DoubleType())]))
+    return own.back(scored, output)
