@@ -7,6 +7,10 @@ Every stage but the last returns the columns of ``documents``, and ``n_chars`` f
 * near_dedup: one document of each class of near-duplicates stays, the one with the least id.
 * decontamination: benchmark passages are cut out; documents mostly made of them go.
 * byte_bpe: per document, number and digests of its ids and of the bytes decoded from them.
+
+Null and empty texts have too few words and go in the first stage; an empty table stays empty.  Equal rows are judged alike,
+stay together as one document in ``near_dedup``, and a null id counts as the largest.  Other columns come through unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headroom.llm import bytebpe, decontaminate, fuzzylines, neardup, quality
+from headroom.llm.aside import Aside
 from headroom.llm.catalog import BYTE_BPE, table
 from headroom.sources.staging import stage
 
@@ -26,13 +31,14 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).where("kept").select(docs.columns)
+    return quality.keep(docs, rules)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = fuzzylines.dedup_lines(docs, removed="_removed")
-    out = out.where((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return _sized(out).select(docs.columns)
+    own = Aside(docs)
+    text = own.of("text")
+    out = fuzzylines.dedup_lines(own.rows, own.of("doc_id"), text, removed="removed")
+    return _sized(own.back(out.where((F.col("removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
