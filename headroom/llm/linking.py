@@ -112,12 +112,15 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots, "node", "left").withColumns({"single": F.col("root").isNull(), "root": F.coalesce("root", "node")})
 
 
-def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
+def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshold: float, prepare: Callable[[DataFrame], None] | None = None) -> DataFrame | None:
     """``node`` and ``root`` of all nodes that are linked to another; None if there are none.
 
-    ``members`` has ``key`` and ``node`` (long); ``compare`` adds ``sim`` to pairs ``a`` < ``b``.
+    ``members`` has ``key`` and ``node`` (long); ``compare`` adds ``sim`` to pairs ``a`` < ``b``.  ``prepare`` is
+    given all nodes that will ever be compared, before the first pairs are.
     """
     members, n, _ = staged(meetings(members), "members")
+    if n and prepare is not None:
+        prepare(stage(members.select("node").distinct(), "nodes"))
     # similarity to the first center of the bucket, once there is one
     members = members.withColumn("first", F.lit(None).cast("double"))
     unsettled, roots, round_ = members, None, 0
@@ -165,6 +168,14 @@ def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshol
     return roots
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """Pairs and the texts of both, from a table of ``node`` and ``text``."""
+    own = among(texts, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    for side in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("node").alias(side), F.col(text).alias(f"{text}_{side}")), side)
+    return pairs.select("a", "b", f"{text}_a", f"{text}_b")
+
+
 def _facing(centers: DataFrame, rooted: DataFrame) -> DataFrame:
     """Centers with what is known of them as members of their buckets."""
     names = {"node": "center", "root": "center_root", "first": "center_first", "single": "center_single"}
