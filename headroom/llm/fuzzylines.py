@@ -127,6 +127,16 @@ def jaccard(a: pa.LargeStringArray, b: pa.LargeStringArray) -> np.ndarray:
     return common / np.maximum(np.bincount(pair, minlength=len(a)) - common, 1)
 
 
+def run_sets(lines: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line number, hash and weight 1 of the distinct runs."""
+    line, runs = _runs(lines)
+    order = np.lexsort((runs, line))
+    line, runs = line[order], runs[order]
+    new = np.ones(len(line), dtype=bool)
+    new[1:] = (line[1:] != line[:-1]) | (runs[1:] != runs[:-1])
+    return line[new], runs[new], np.ones(int(new.sum()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in words.blocks(batch, "line_a"):
@@ -169,7 +179,10 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     def compare(pairs: DataFrame) -> DataFrame:
         return linking.with_texts(pairs, texts, "line").mapInArrow(_verify, "a long, b long, sim double")
 
-    roots = linking.link(members, compare, threshold, prepare)
+    def rarest(nodes: DataFrame) -> DataFrame:
+        return linking.prefixes(linking.among(texts, "node", nodes, "node"), "line", run_sets, threshold)
+
+    roots = linking.link(members, compare, threshold, prepare, rarest, crossed=True)
     several = distinct.where("copies > 1").select("h1", "h2", F.col("place").alias("first"))
     if roots is not None:
         alike = distinct.join(roots, distinct["h1"] == roots["node"])

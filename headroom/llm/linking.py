@@ -1,8 +1,10 @@
 """Classes of similar things from buckets of candidates.
 
-Two things are candidates if they share two keys, or one key that few have.  So a key of more than ``FEW``
-members stands for nothing by itself: its members meet under every two such keys they have, and those that
-have one only, unlike members of one frequent passage above all, don't meet.
+Two things are candidates if they share a key.  The members of a key that few have meet under it.  Those of a key of
+more than ``FEW`` members meet under elements of their sets instead (``prefixes``): of each set the rarest elements,
+down to where the rest is too little for a similarity of ``threshold``.  Two sets that similar have one of these in
+common whatever the order is, as long as it is one for all, so no link is lost; and members of one frequent
+passage, which is their least rare part, don't meet by that.
 
 ``link`` compares the members of a bucket with its center, the member with the most company, and repeats
 with more centers until nothing is open.  A member is settled in a bucket once it is linked to one of its
@@ -15,7 +17,7 @@ and are never compared.  Centers multiply in each round, which bounds the number
 of the largest bucket.
 
 Members of a bucket that are unlike all others are compared with all they could be similar to: the number of
-pairs still grows with the square of their number where they share two frequent keys.
+pairs still grows with the square of their number where they share a few keys or rare elements.
 
 ``components`` finds connected components by large and small stars.  Edges never come to the driver,
 which sees counts only.  Tables between rounds are written to the shared folder.
@@ -23,17 +25,22 @@ which sees counts only.  Tables between rounds are written to the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from headroom.llm import words
 from headroom.sources.staging import stage
 
 #: How many times more centers a bucket has in the next round.
 CENTERS = 16
-#: A key of more members counts in company with another one only.
+#: Members of a key of more meet by their rarest elements.
 FEW = 32
+#: Elements are counted into this many counters, to order them.
+COUNTER_BITS = 18
 #: The filter in front of a join has this many words of 64 bits.
 FILTER_WORDS_BITS = 20
 
@@ -91,17 +98,74 @@ def _of_several(members: DataFrame, name: str) -> DataFrame:
     return among(members, "key", shared, "key").join(shared, "key")
 
 
-def meetings(members: DataFrame) -> DataFrame:
+def _counter(elements: np.ndarray) -> np.ndarray:
+    return (elements >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def prefixes(texts: DataFrame, text: str, sets: Callable, threshold: float) -> DataFrame:
+    """``node`` and ``elements``: the rarest elements of each text's set, one of which any two texts as similar share.
+
+    ``sets`` gives text number, hash and weight of the distinct elements of texts.  Elements are in the order of their
+    counters, then of their hashes.  What stands before the first common element of two sets is in neither's common
+    part, so it has at most ``1 - threshold`` of either's weight.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        for batch in batches:
+            for block in words.blocks(batch, text):
+                total += np.bincount(_counter(sets(words.strings(block, text))[1]), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+
+    counted = texts.select(text).mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    loads = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    loads[counted["counter"]] = counted["n"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in words.blocks(batch, text):
+                own, elements, weight = sets(words.strings(block, text))
+                order = np.lexsort((elements, loads[_counter(elements)], own))
+                own, elements, weight = own[order], elements[order], weight[order].astype(float)
+                total = np.bincount(own, weight, block.num_rows)
+                before = np.cumsum(weight) - weight
+                before -= (np.cumsum(total) - total)[own]
+                # rounding must not lose an element
+                chosen = np.flatnonzero(before <= (1 - threshold + 1e-6) * total[own] + 1e-6)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(own[chosen], minlength=block.num_rows))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(elements[chosen].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([block.column(block.schema.get_field_index("node")), lists], ["node", "elements"])
+
+    return texts.select("node", text).mapInArrow(choose, "node long, elements array<long>")
+
+
+def meetings(members: DataFrame, prepare: Callable[[DataFrame], None] | None, rarest: Callable[[DataFrame], DataFrame] | None, crossed: bool) -> DataFrame:
     """``key``, ``node`` and ``company`` of all buckets in which candidates meet.
 
-    A node has as many keys as it has bands, so what is gathered by node is small.
+    A node has as many keys as it has bands, so what is gathered by node is small.  ``crossed``: elements are common
+    enough by themselves that they count together with a frequent key only.
     """
     by_node = _of_several(members, "shared").groupBy("node").agg(F.collect_set(F.struct("key", "size")).alias("keys"))
     few = F.transform(F.filter("keys", lambda k: k["size"] <= FEW), lambda k: k["key"])
     frequent = F.transform(F.filter("keys", lambda k: k["size"] > FEW), lambda k: k["key"])
     by_node = by_node.select("node", few.alias("few"), frequent.alias("frequent"), F.aggregate("keys", F.lit(0).cast("long"), lambda n, k: n + k["size"]).alias("company"))
-    two = F.flatten(F.transform("frequent", lambda x: F.transform(F.filter("frequent", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    met = stage(by_node.select("node", "company", F.explode(F.concat("few", two)).alias("key")), "meetings")
+    by_node, n, _ = staged(by_node, "by_node")
+    if n and prepare is not None:
+        prepare(by_node.select("node"))
+    met = by_node.select("node", "company", F.explode("few").alias("key"))
+    many, n, _ = staged(by_node.where(F.size("frequent") > 0).select("node", "company", "frequent"), "frequent")
+    if n and rarest is None:
+        two = F.flatten(F.transform("frequent", lambda x: F.transform(F.filter("frequent", lambda y: y > x), lambda y: F.xxhash64(x, y))))
+        met = met.unionAll(many.select("node", "company", F.explode(two).alias("key")))
+    elif n:
+        by_element = many.join(rarest(many.select("node")), "node").select("node", "company", "frequent", F.explode("elements").alias("element"))
+        if crossed:
+            by_element = by_element.select("node", "company", "element", F.explode("frequent").alias("frequent"))
+        else:
+            by_element = by_element.withColumn("frequent", F.lit(0).cast("long"))
+        met = met.unionAll(by_element.select("node", "company", F.xxhash64("frequent", "element").alias("key")))
+    met = stage(met, "meetings")
     return _of_several(met, "shared").select("key", "node", "company")
 
 
@@ -112,15 +176,22 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots, "node", "left").withColumns({"single": F.col("root").isNull(), "root": F.coalesce("root", "node")})
 
 
-def link(members: DataFrame, compare: Callable[[DataFrame], DataFrame], threshold: float, prepare: Callable[[DataFrame], None] | None = None) -> DataFrame | None:
+def link(
+    members: DataFrame,
+    compare: Callable[[DataFrame], DataFrame],
+    threshold: float,
+    prepare: Callable[[DataFrame], None] | None = None,
+    rarest: Callable[[DataFrame], DataFrame] | None = None,
+    crossed: bool = False,
+) -> DataFrame | None:
     """``node`` and ``root`` of all nodes that are linked to another; None if there are none.
 
-    ``members`` has ``key`` and ``node`` (long); ``compare`` adds ``sim`` to pairs ``a`` < ``b``.  ``prepare`` is
-    given all nodes that will ever be compared, before the first pairs are.
+    ``members`` has ``key`` and ``node`` (long); ``compare`` adds ``sim`` to pairs ``a`` < ``b``; ``rarest`` gives the
+    ``prefixes`` of nodes; where nothing is known but keys, members of frequent keys meet under every two of these,
+    and those that have one in common only do not.  ``prepare`` is given all nodes that may ever be compared,
+    before anything else is asked.
     """
-    members, n, _ = staged(meetings(members), "members")
-    if n and prepare is not None:
-        prepare(stage(members.select("node").distinct(), "nodes"))
+    members, n, _ = staged(meetings(members, prepare, rarest, crossed), "members")
     # similarity to the first center of the bucket, once there is one
     members = members.withColumn("first", F.lit(None).cast("double"))
     unsettled, roots, round_ = members, None, 0

@@ -190,7 +190,14 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         both = linking.with_texts(pairs, texts, "text")
         return both.mapInArrow(_verifier(idf), "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
-    roots = linking.link(members, compare, threshold, prepare)
+    def rarest(nodes: DataFrame) -> DataFrame:
+        def sets(block):
+            own, runs, counts = shingles(block)
+            return own, runs, weights(runs, counts, idf)
+
+        return linking.prefixes(linking.among(texts, "node", nodes, "node"), "text", sets, threshold)
+
+    roots = linking.link(members, compare, threshold, prepare, rarest)
     if roots is None:
         least = distinct.select("t1", "t2", F.col("least").alias("class_id"))
     else:

@@ -4,6 +4,7 @@ import collections
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -218,6 +219,79 @@ def test_members_of_frequent_keys_are_linked_as_all_their_pairs(spark):
     got = {r["node"]: r["root"] for r in linking.link(members, compare, 0.8).collect()}
     assert got == {k: r for k, r in expected.items() if sizes[r] > 1}
 
+def test_members_of_one_frequent_key_meet_if_they_are_alike(spark):
+    """Texts that share a single key, which many others have, are linked as all pairs are; the others don't meet."""
+    random.seed(31)
+    passage = [f"w{k}" for k in range(40)]
+    texts, near = [], []
+    for k in range(60):
+        own = [f"x{k}_{j}" for j in range(60)]
+        near.append((2 * k, 2 * k + 1))
+        texts += [passage + own, passage + own[:-6] + [f"y{k}_{j}" for j in range(6)]]
+    texts = [" ".join(t) for t in texts]
+    members = spark.createDataFrame([(7, k) for k in range(len(texts))], "key long, node long")
+    known = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    asked = []
+
+    def sets(block):
+        text, runs, _ = neardup.shingles(block)
+        return text, runs, np.ones(len(runs))
+
+    def rarest(nodes):
+        return linking.prefixes(known.join(nodes, "node"), "text", sets, 0.8)
+
+    def compare(pairs):
+        asked.append(pairs.count())
+        both = pairs.join(known.toDF("a", "ta"), "a").join(known.toDF("b", "tb"), "b")
+        ta, tb = F.split("ta", " "), F.split("tb", " ")
+        return both.select("a", "b", (F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))).alias("sim"))
+
+    for crossed in (False, True):
+        got = {r["node"]: r["root"] for r in linking.link(members, compare, 0.8, None, rarest, crossed).collect()}
+        assert got == {n: a for a, b in near for n in (a, b)}
+    assert sum(asked) < 10 * len(near)
+
+
+def test_prefixes_of_similar_sets_meet(spark):
+    random.seed(5)
+    pairs = []
+    for k in range(300):
+        size = random.randrange(6, 60)
+        own = random.sample(range(400), size)
+        other = own[:]
+        for _ in range(random.randrange(0, max(1, size // 8) + 1)):
+            other[random.randrange(size)] = random.randrange(400)
+        pairs += [own, other]
+    known = spark.createDataFrame([(k, " ".join(f"t{v}" for v in dict.fromkeys(t))) for k, t in enumerate(pairs)], "node long, text string")
+
+    def sets(block):
+        found = W.find_words(block, W.ALPHANUMERIC, lower=True)
+        own, h = found.text_of(), found.hashes()
+        return own, h, (1 + (h % np.uint64(3))).astype(np.float32)
+
+    got = {r["node"]: set(r["elements"]) for r in linking.prefixes(known.repartition(7), "text", sets, 0.8).collect()}
+    whole = {r["node"]: set(r["elements"]) for r in linking.prefixes(known, "text", sets, 1e-9).collect()}
+    weight = lambda s: sum(1 + (v & (2**64 - 1)) % 3 for v in s)
+    alike = 0
+    for a in range(0, 600):
+        for b in range(a + 1, 600):
+            if weight(whole[a] & whole[b]) >= 0.8 * weight(whole[a] | whole[b]):
+                alike += 1
+                assert got[a] & got[b]
+    assert alike > 100 and sum(map(len, got.values())) < 0.4 * sum(map(len, whole.values()))
+
+
+def test_lines_of_one_frequent_band_key_are_kept_once(spark, monkeypatch):
+    """Two lines in a bucket of many unlike ones are still found where they share no other key."""
+    random.seed(8)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    lines = ["".join(random.choices(letters, k=80)) for _ in range(50)]
+    lines += [line[:-6] + "######" for line in lines[:10]]
+    monkeypatch.setattr(fuzzylines, "TIERS", ((1, None, 1, ()),))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in fuzzylines.dedup_lines(docs).collect()}
+    assert [k for k in range(60) if not out[k]] == list(range(50, 60))
+
 
 def test_components_equal_union_find(spark):
     random.seed(2)
