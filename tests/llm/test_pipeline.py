@@ -228,3 +228,14 @@ def test_very_long_texts_are_whole(spark):
     assert all(tokens[k]["decoded_sha256"] == sha(long[k]) for k in (1, 2))
     report = {r["doc_id"]: r for r in secret_scan.secret_report(df.withColumn("text", F.concat("text", F.lit(" token=abcdefgh")))).collect()}
     assert [report[k]["n_assign"] for k in range(3)] == [1, 1, 1]
+
+
+def test_line_stage_keeps_lines_of_one_frequent_band_key_once(spark, monkeypatch, tmp_path):
+    """Near copies whose only common key is one that many lines have are cut in the pipeline's stage as well."""
+    random.seed(21)
+    lines = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=90)) for _ in range(40)]
+    lines += [line[:-5] + "#####" for line in lines[:6]]
+    monkeypatch.setattr(fuzzylines, "TIERS", ((1, None, 1, ()),))
+    docs = spark.createDataFrame([(k, line, len(line)) for k, line in enumerate(lines)], "doc_id long, text string, n_chars long")
+    out = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(40))
