@@ -128,13 +128,12 @@ def jaccard(a: pa.LargeStringArray, b: pa.LargeStringArray) -> np.ndarray:
 
 
 def run_sets(lines: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line number, hash and weight 1 of the distinct runs."""
+    """Line number, hash and weight 1 of the distinct runs; of hashes only the first bits, 40 in blocks of fewer than 2**24 lines."""
     line, runs = _runs(lines)
-    order = np.lexsort((runs, line))
-    line, runs = line[order], runs[order]
-    new = np.ones(len(line), dtype=bool)
-    new[1:] = (line[1:] != line[:-1]) | (runs[1:] != runs[:-1])
-    return line[new], runs[new], np.ones(int(new.sum()))
+    bits = 64 - max(len(lines) - 1, 1).bit_length()
+    keyed = np.sort((line.astype(np.uint64) << np.uint64(bits)) | (runs >> np.uint64(64 - bits)))
+    keyed = keyed[np.diff(keyed, prepend=keyed[:1] ^ np.uint64(1)) != 0]
+    return (keyed >> np.uint64(bits)).astype(np.int64), keyed << np.uint64(64 - bits), np.ones(len(keyed))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +178,10 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     def compare(pairs: DataFrame) -> DataFrame:
         return linking.with_texts(pairs, texts, "line").mapInArrow(_verify, "a long, b long, sim double")
 
-    def rarest(nodes: DataFrame) -> DataFrame:
-        return linking.prefixes(linking.among(texts, "node", nodes, "node"), "line", run_sets, threshold)
+    def sketch(nodes: DataFrame) -> DataFrame:
+        return linking.sketches(texts, "line", run_sets)
 
-    roots = linking.link(members, compare, threshold, prepare, rarest, crossed=True)
+    roots = linking.link(members, compare, threshold, prepare, sketch=sketch)
     several = distinct.where("copies > 1").select("h1", "h2", F.col("place").alias("first"))
     if roots is not None:
         alike = distinct.join(roots, distinct["h1"] == roots["node"])

@@ -1,23 +1,21 @@
 """Classes of similar things from buckets of candidates.
 
-Two things are candidates if they share a key.  The members of a key that few have meet under it.  Those of a key of
-more than ``FEW`` members meet under elements of their sets instead (``prefixes``): of each set the rarest elements,
-down to where the rest is too little for a similarity of ``threshold``.  Two sets that similar have one of these in
-common whatever the order is, as long as it is one for all, so no link is lost; and members of one frequent
-passage, which is their least rare part, don't meet by that.
-
-``link`` compares the members of a bucket with its center, the member with the most company, and repeats
-with more centers until nothing is open.  A member is settled in a bucket once it is linked to one of its
-centers and is to no center of another class as near as a common neighbour would allow: distances are metric,
-so two things with a common neighbour have a similarity of at least ``2 * threshold - 1``.  A center
-without any link has no neighbours to care for.  Members that are not settled become centers themselves, and
-a bucket is done when all of it is one class.  So every two candidates that are similar end in one
-class.  Two members whose similarities to the first center differ by more than ``1 - threshold`` can't be similar
-and are never compared.  Centers multiply in each round, which bounds the number of rounds by the logarithm
-of the largest bucket.
-
-Members of a bucket that are unlike all others are compared with all they could be similar to: the number of
-pairs still grows with the square of their number where they share a few keys or rare elements.
+Two things are candidates if they share a key, however many share it.  Pairs of candidates that can't be similar
+are told by ``sketches``: the parities of a set's elements by hash, whose differences between two sets are at most
+as many as the elements that only one of them has.  That bounds the similarity from above, never wrongly, inside the
+join that forms the pairs; the pairs left are compared.
+
+``link`` compares the members of a bucket with its center, the member with the most company.  Large buckets go on
+with more centers, chosen from members of other classes than all centers before, as long as that settles a good
+part of them.  Then every member that is not of the first center's class meets all members of other classes that
+it could be similar to.  So every two candidates that are similar end in one class, and the members of one large
+class are never compared with each other.
+
+Members of a bucket that are unlike all others cost a bound for each two of them, but neither a row nor a
+comparison; where nothing but keys is known (no ``sketch``), those of a key of more than ``FEW`` members meet under
+elements of their sets instead (``prefixes``): of each set the rarest elements, down to where the rest is too little
+for a similarity of ``threshold``.  Two sets that similar have one of these in common whatever the order is, as
+long as it is one for all, so no link is lost.
 
 ``components`` finds connected components by large and small stars.  Edges never come to the driver,
 which sees counts only.  Tables between rounds are written to the shared folder.
@@ -29,16 +27,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from headroom.llm import words
 from headroom.sources.staging import stage
 
-#: How many times more centers a bucket has in the next round.
+#: How many centers a large bucket has in each round but the first.
 CENTERS = 16
-#: Members of a key of more meet by their rarest elements.
+#: Buckets of more open members have more rounds; without sketches, members of a key of more meet by their rarest elements.
 FEW = 32
+#: Words of 64 bits of a sketch.
+SKETCH_WORDS = 8
 #: Elements are counted into this many counters, to order them.
 COUNTER_BITS = 18
 #: The filter in front of a join has this many words of 64 bits.
@@ -92,8 +92,14 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
 
 
 def _of_several(members: DataFrame, name: str) -> DataFrame:
-    """Rows whose key has several nodes, with ``size``, the number of its rows."""
-    shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
+    """Rows whose key has several nodes, with ``size``, the number of its rows.
+
+    Most keys have one node; half of a key's bits are enough to leave out most of them, in a smaller shuffle.
+    """
+    half = F.shiftright("key", 32).cast("int")
+    halves = stage(members.groupBy(half.alias("half")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), name)
+    maybe = among(members.withColumn("half", half), "half", halves, "half").drop("half")
+    shared = maybe.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
     shared = stage(shared.where("low < high").select("key", "size"), name)
     return among(members, "key", shared, "key").join(shared, "key")
 
@@ -140,12 +146,66 @@ def prefixes(texts: DataFrame, text: str, sets: Callable, threshold: float) -> D
     return texts.select("node", text).mapInArrow(choose, "node long, elements array<long>")
 
 
-def meetings(members: DataFrame, prepare: Callable[[DataFrame], None] | None, rarest: Callable[[DataFrame], DataFrame] | None, crossed: bool) -> DataFrame:
+def _sketched(by_node: DataFrame) -> list[str]:
+    return [c for c in by_node.columns if c in ("total", "low") or c.startswith("sketch_")]
+
+
+def sketches(texts: DataFrame, text: str, sets: Callable, n_words: int = SKETCH_WORDS) -> DataFrame:
+    """``node``, ``total`` (weight of its set), ``low`` (least weight in it) and ``sketch_0`` ..., the bits of its sketch.
+
+    ``sets`` gives text number, hash and weight of the distinct elements of texts.  Each element turns the bit
+    that the first bits of its hash name, so elements that two sets have in common turn the same bits in both.
+    """
+    size = 64 * n_words
+    shift = np.uint64(64 - size.bit_length() + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in words.blocks(batch, text):
+                own, elements, weight = sets(words.strings(block, text))
+                n = block.num_rows
+                total = np.bincount(own, weight, n)
+                low = np.full(n, np.inf)
+                begins = np.flatnonzero(np.diff(own, prepend=-1))
+                if len(own):
+                    low[own[begins]] = np.minimum.reduceat(weight.astype(float), begins)
+                turned = np.bincount(own * size + (elements >> shift).astype(np.int64), minlength=n * size)
+                bits = np.packbits((turned & 1).astype(np.uint8).reshape(n, size), axis=1).view(np.int64)
+                columns = [block.column(block.schema.get_field_index("node")), pa.array(total), pa.array(low), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(n_words))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "total", "low", *(f"sketch_{k}" for k in range(n_words))])
+
+    fields = ", ".join(f"sketch_{k} long" for k in range(n_words))
+    return texts.select("node", text).mapInArrow(run, f"node long, total double, low double, {fields}")
+
+
+def _may_be_similar(columns: list[str], other: str, threshold: float) -> Column:
+    """Whether the sketches of two sets, the second's columns under names that begin with ``other``, allow ``threshold``.
+
+    What only one of two sets has weighs at least the difference of their totals, and at least the least weight for
+    each bit in which the sketches differ.  Of sets as similar as ``threshold`` it is
+    ``(1 - threshold) / (1 + threshold)`` of both totals or less.
+    """
+    if not columns:
+        return F.lit(True)
+    bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(other + c))) for c in columns if c.startswith("sketch_"))
+    apart = F.greatest(bits * F.least("low", other + "low"), F.abs(F.col("total") - F.col(other + "total")))
+    # rounding must not tell apart what could be similar
+    return apart * (1 + threshold) <= (F.col("total") + F.col(other + "total")) * (1 - threshold) * (1 + 1e-6) + 1e-6
+
+
+def meetings(members: DataFrame, prepare: Callable[[DataFrame], None] | None, rarest: Callable[[DataFrame], DataFrame] | None, crossed: bool, sketch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``key``, ``node`` and ``company`` of all buckets in which candidates meet.
 
     A node has as many keys as it has bands, so what is gathered by node is small.  ``crossed``: elements are common
-    enough by themselves that they count together with a frequent key only.
+    enough by themselves that they count together with a frequent key only.  With sketches, buckets are those of the keys.
     """
+    if sketch is not None:
+        met = stage(_of_several(members, "shared").distinct(), "met")
+        by_node, n, _ = staged(met.groupBy("node").agg(F.sum("size").alias("company")), "by_node")
+        if n and prepare is not None:
+            prepare(by_node.select("node"))
+        own = stage(by_node.join(sketch(by_node.select("node")).dropDuplicates(["node"]), "node"), "sketched") if n else by_node
+        return met.drop("size").join(own, "node")
     by_node = _of_several(members, "shared").groupBy("node").agg(F.collect_set(F.struct("key", "size")).alias("keys"))
     few = F.transform(F.filter("keys", lambda k: k["size"] <= FEW), lambda k: k["key"])
     frequent = F.transform(F.filter("keys", lambda k: k["size"] > FEW), lambda k: k["key"])
@@ -170,10 +230,10 @@ def meetings(members: DataFrame, prepare: Callable[[DataFrame], None] | None, ra
 
 
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members with ``root``, and ``single``, whether they are linked to nothing."""
+    """Members with ``root``, themselves if they are linked to nothing."""
     if roots is None:
-        return members.withColumns({"root": F.col("node"), "single": F.lit(True)})
-    return members.join(roots, "node", "left").withColumns({"single": F.col("root").isNull(), "root": F.coalesce("root", "node")})
+        return members.withColumn("root", F.col("node"))
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def link(
@@ -183,59 +243,62 @@ def link(
     prepare: Callable[[DataFrame], None] | None = None,
     rarest: Callable[[DataFrame], DataFrame] | None = None,
     crossed: bool = False,
+    sketch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
     """``node`` and ``root`` of all nodes that are linked to another; None if there are none.
 
-    ``members`` has ``key`` and ``node`` (long); ``compare`` adds ``sim`` to pairs ``a`` < ``b``; ``rarest`` gives the
-    ``prefixes`` of nodes; where nothing is known but keys, members of frequent keys meet under every two of these,
-    and those that have one in common only do not.  ``prepare`` is given all nodes that may ever be compared,
-    before anything else is asked.
+    ``members`` has ``key`` and ``node`` (long); ``compare`` adds ``sim`` to pairs ``a`` < ``b``; ``sketch`` gives the
+    ``sketches`` of nodes, and ``rarest`` the ``prefixes``; where nothing is known but keys, members of frequent keys
+    meet under every two of these, and those that have one in common only do not.  ``prepare`` is given all nodes that may
+    ever be compared, before anything else is asked.
     """
-    members, n, _ = staged(meetings(members, prepare, rarest, crossed), "members")
-    # similarity to the first center of the bucket, once there is one
-    members = members.withColumn("first", F.lit(None).cast("double"))
-    unsettled, roots, round_ = members, None, 0
-    compared = centers = None
-    # rounding must not tell apart what could be similar
-    apart = 1 - threshold + 1e-9
-    while n:
-        order = F.struct(-F.col("company"), F.xxhash64("node"), "node")
-        if round_ == 0:
-            chosen = unsettled.groupBy("key").agg(F.min_by("node", order).alias("center"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy(order))
-            chosen = unsettled.withColumn("rank", rank).where(F.col("rank") <= CENTERS**round_).select("key", F.col("node").alias("center"))
-        chosen = stage(chosen, "centers")
-        rooted = _rooted(members, roots)
-        facing = _facing(chosen, rooted)
-        pairs = rooted.join(facing, "key").where("root <> center_root").where(F.coalesce(F.abs(F.col("first") - F.col("center_first")) <= apart, F.lit(True)))
-        pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    met = meetings(members, prepare, rarest, crossed, sketch)
+    order = [F.desc("company"), F.xxhash64("node"), F.col("node")]
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(*order))
+    members, n, _ = staged(met.withColumn("rank", rank), "members")
+    if not n:
+        return None
+    columns = _sketched(members)
+    roots = compared = None
+
+    def meet(left: DataFrame, right: DataFrame, where: Column) -> None:
+        """Compare what two sides have in a bucket in common, and find the classes anew."""
+        nonlocal roots, compared
+        facing = right.select("key", *(F.col(c).alias(f"other_{c}") for c in right.columns if c in ("node", "root", "open") or c in columns))
+        pairs = left.join(facing, "key").where("root <> other_root").where(where & _may_be_similar(columns, "other_", threshold))
+        pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        new = compare(stage(pairs, "pairs")).select("a", "b", "sim")
-        new, n_new, _ = staged(new, "compared")
-        compared = new if compared is None else compared.unionAll(new)
-        centers = chosen if centers is None else centers.unionAll(chosen)
-        if n_new:
-            roots = stage(components(compared.where(F.col("sim") >= threshold)), "roots")
-        # what is open: in buckets of several classes, members neither center nor settled
-        rooted = _rooted(members, roots)
-        several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        rooted = stage(rooted.join(several, "key"), "rooted")
-        met = rooted.join(_facing(centers, rooted), "key").withColumns({"a": F.least("node", "center"), "b": F.greatest("node", "center")}).join(compared, ["a", "b"], "left")
-        # a pair not compared is as near as the first center allows
-        bound = F.when(F.col("root") == F.col("center_root"), F.lit(0.0)).otherwise(F.coalesce(1 - F.abs(F.col("first") - F.col("center_first")) + 1e-9, F.lit(0.0)))
-        met = met.groupBy("key", "node").agg(
-            F.first("company").alias("company"),
-            F.coalesce(F.first("first"), F.max(F.when(F.col("node") == F.col("center"), F.lit(1.0)).otherwise(F.col("sim")))).alias("first"),
-            F.max(F.col("node") == F.col("center")).alias("was_center"),
-            F.max(F.coalesce("sim", F.lit(0.0)) >= threshold).alias("linked"),
-            F.max((F.coalesce("sim", bound) >= 2 * threshold - 1) & (F.col("root") != F.col("center_root")) & ~F.col("center_single")).alias("border"),
-        )
-        met = stage(met, "met")
-        unsettled, n, _ = staged(met.where(~F.col("was_center") & (~F.col("linked") | F.col("border"))).select("key", "node", "company"), "unsettled")
-        members = met.select("key", "node", "company", "first")
+        new, n, _ = staged(compare(stage(pairs, "pairs")).select("a", "b", "sim"), "compared")
+        if n:
+            compared = new if compared is None else compared.unionAll(new)
+            edges, n, _ = staged(compared.where(F.col("sim") >= threshold), "links")
+            roots = stage(components(edges), "roots") if n else None
+
+    # one center for each bucket, then more for large buckets, as long as they settle an eighth of a bucket
+    open_, chosen, round_ = members.where("rank > 1"), members.where("rank = 1"), 0
+    while True:
+        meet(_rooted(open_, roots), _rooted(chosen, roots), F.lit(True))
+        settled = _rooted(chosen, roots).select("key", "root").distinct()
+        left = _rooted(open_, roots).join(settled, ["key", "root"], "left_anti").drop("root")
+        if round_:
+            # the new centers are open no more, but that settles none but themselves
+            left = left.join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n_left")).where(F.col("n_left") > FEW)
+        if round_:
+            before = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n_open"))
+            sizes = sizes.join(before, "key").where(F.col("n_open") - CENTERS - F.col("n_left") >= F.col("n_open") / 8)
+        open_, n, _ = staged(left.join(sizes.select("key"), "key").select(members.columns), "open")
+        if not n:
+            break
+        place = F.row_number().over(Window.partitionBy("key").orderBy("rank"))
+        chosen = stage(open_.withColumn("place", place).where(F.col("place") <= CENTERS).drop("place"), "centers")
         round_ += 1
+    # the rest of each bucket with all that the first center didn't settle
+    rooted = _rooted(members, roots)
+    first = rooted.where("rank = 1").select("key", F.col("root").alias("first_root"))
+    rooted = stage(rooted.where("rank > 1").join(first, "key").withColumn("open", F.col("root") != F.col("first_root")).drop("first_root", "company", "rank"), "rooted")
+    meet(rooted.where("open"), rooted, ~F.col("other_open") | (F.col("node") < F.col("other_node")))
     return roots
 
 
@@ -245,9 +308,3 @@ def with_texts(pairs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(own.select(F.col("node").alias(side), F.col(text).alias(f"{text}_{side}")), side)
     return pairs.select("a", "b", f"{text}_a", f"{text}_b")
-
-
-def _facing(centers: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Centers with what is known of them as members of their buckets."""
-    names = {"node": "center", "root": "center_root", "first": "center_first", "single": "center_single"}
-    return centers.join(rooted.select("key", *(F.col(a).alias(b) for a, b in names.items())), ["key", "center"])

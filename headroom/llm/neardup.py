@@ -38,6 +38,8 @@ SKETCH_BITS = 16
 RARE = 0.02
 #: How much more a rare run weighs than one that all documents have.
 IDF_GAIN = 0.25
+#: Words of 64 bits of a document's sketch in ``linking``; documents are larger sets than lines.
+SKETCH_WORDS = 16
 _FIELD = 1 << 16
 
 
@@ -190,14 +192,14 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         both = linking.with_texts(pairs, texts, "text")
         return both.mapInArrow(_verifier(idf), "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
-    def rarest(nodes: DataFrame) -> DataFrame:
+    def sketch(nodes: DataFrame) -> DataFrame:
         def sets(block):
             own, runs, counts = shingles(block)
             return own, runs, weights(runs, counts, idf)
 
-        return linking.prefixes(linking.among(texts, "node", nodes, "node"), "text", sets, threshold)
+        return linking.sketches(texts, "text", sets, SKETCH_WORDS)
 
-    roots = linking.link(members, compare, threshold, prepare, rarest)
+    roots = linking.link(members, compare, threshold, prepare, sketch=sketch)
     if roots is None:
         least = distinct.select("t1", "t2", F.col("least").alias("class_id"))
     else:

@@ -252,6 +252,39 @@ def test_members_of_one_frequent_key_meet_if_they_are_alike(spark):
     assert sum(asked) < 10 * len(near)
 
 
+def test_sketches_rule_out_pairs_and_never_a_link(spark):
+    """Members of one key: links are all found, and near copies below the threshold are not compared."""
+    random.seed(37)
+    base = [f"w{k}" for k in range(120)]
+    texts = [[f"u{k}x{j}" for j in range(120)] for k in range(60)]
+    for k in range(60):
+        # two of these have 80 of 160 words in common
+        copy = base[:80] + [f"c{k}x{j}" for j in range(40)]
+        texts.append(copy)
+        if k < 10:
+            # 108 of 132 words in common, just enough
+            texts.append(copy[:108] + [f"d{k}x{j}" for j in range(12)])
+    texts = [" ".join(t) for t in texts]
+    members = spark.createDataFrame([(7, k) for k in range(len(texts))], "key long, node long")
+    known = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    asked = []
+
+    def sets(block):
+        found = W.find_words(block, W.ALPHANUMERIC, lower=True)
+        order = np.lexsort((found.hashes(), found.text_of()))
+        return found.text_of()[order], found.hashes()[order], np.ones(len(order))
+
+    def compare(pairs):
+        asked.append(pairs.count())
+        both = pairs.join(known.toDF("a", "ta"), "a").join(known.toDF("b", "tb"), "b")
+        ta, tb = F.split("ta", " "), F.split("tb", " ")
+        return both.select("a", "b", (F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))).alias("sim"))
+
+    got = {r["node"]: r["root"] for r in linking.link(members, compare, 0.8, sketch=lambda nodes: linking.sketches(known, "text", sets)).collect()}
+    assert got == {n: 60 + 2 * k for k in range(10) for n in (60 + 2 * k, 61 + 2 * k)}
+    assert sum(asked) <= 40 and len(asked) <= 3
+
+
 def test_prefixes_of_similar_sets_meet(spark):
     random.seed(5)
     pairs = []
