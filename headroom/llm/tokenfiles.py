@@ -7,8 +7,9 @@ a reader with a filter on the key skip pages.  File names ascend with the keys t
 stream of all ids is the files one after the other.
 
 The vocabulary comes from a file of the tokenizers library.  Texts are cut at ASCII white space,
-which that tokenizer drops, and each distinct word of a block is encoded once: words of Latin
-characters are lower-cased, split by the file's pattern and merged by the library's model, other
+which that tokenizer drops.  Words of plain Latin characters are cut into the file's pre-tokens on whole
+blocks of bytes, by the class of each character; a block's distinct pre-tokens are lower-cased and merged by
+the library's model.  Words with an apostrophe are lower-cased and split by the file's pattern one by one, other
 words are normalised and split by the library too, and words with white space beyond ASCII or with
 the text of an added token (``<|endoftext|>``) go through the whole library as they are.
 
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 from headroom.llm import words
 
 #: Larger blocks repeat more words.
-BLOCK_BYTES = 3 << 20
-#: Bytes of a row group and of a page, and the words and pre-tokens that a worker process remembers.
+BLOCK_BYTES = 6 << 20
+#: Bytes of a row group and of a page, and the pre-tokens and other words that a worker process remembers.
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-CACHED_WORDS, CACHED_PIECES = 150_000, 500_000
+CACHED = 500_000
 ODD_SPACE = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Words of these characters have one normal form, their lower case, and are split below.
 LATIN = regex.compile(r"[!-~\xa1-\xac\xae-\u024f]+")
@@ -52,6 +53,21 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(other)}
 
 
+#: Classes of characters; a word with one that is ``SLOW`` isn't cut on bytes.
+OTHER, LETTER, NUMBER, SLOW = range(4)
+
+
+def _classes() -> np.ndarray:
+    """The class of each character that two bytes can hold."""
+    found = np.full(1 << 11, SLOW, dtype=np.uint8)
+    for c in map(chr, range(0x250)):
+        # an apostrophe may begin a contraction, and a lower case of another class or length moves cuts
+        if c != "'" and LATIN.fullmatch(c) and len(c.lower()) == 1:
+            found[ord(c)], low = (LETTER if regex.match(r"\p{L}", x) else NUMBER if regex.match(r"\p{N}", x) else OTHER for x in (c, c.lower()))
+            if found[ord(c)] != low:
+                found[ord(c)] = SLOW
+    return found
+
 
 class Encoder:
     """Ids of texts by a tokenizer file whose pre-tokens never reach over white space."""
@@ -63,19 +79,22 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added)) or "(?!)", regex.IGNORECASE).search
         self.cache: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
         self.letters = _byte_letters()
         pattern = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")
         # any other file is split by the library alone
         self.split = regex.compile(PRE_TOKENS).findall if pattern == PRE_TOKENS else None
+        self.classes = _classes()
+        signs = [regex.search(r"[!-/:-@\[-`{-~]", t) for t in added]
+        if self.split is None or not all(signs):
+            self.classes[:] = SLOW
+        # an added token holds its first sign in any case
+        self.classes[[ord(s[0]) for s in signs if s]] = SLOW
 
     def _by_library(self, word: str) -> bytes:
         return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _remember(self, piece: str, in_letters: str) -> bytes:
         ids = array("i", [t.id for t in self.tokenizer.model.tokenize(in_letters)]).tobytes()
-        if len(self.cache) >= CACHED_PIECES:
-            self.cache.clear()
         self.cache[piece] = ids
         return ids
 
@@ -87,15 +106,25 @@ class Encoder:
             ids += self._remember(piece, piece.encode().decode("latin-1").translate(self.letters)) if own is None else own
         return ids
 
-    def words(self, distinct: list[str]) -> list[bytes]:
-        """The ids of each word, as bytes of 32-bit integers."""
-        if len(self.known) >= CACHED_WORDS:
-            self.known.clear()
-        ids = list(map(self.known.get, distinct))
+    def units(self, distinct: list[str], slow: np.ndarray) -> list[bytes]:
+        """The ids of each pre-token, or word if it is slow, as bytes of 32-bit integers."""
+        if len(self.cache) >= CACHED:
+            self.cache.clear()
+        cache = self.cache
+        ids = list(map(cache.get, distinct))
         new = [i for i, own in enumerate(ids) if own is None]
-        words_ = [distinct[i] for i in new]
-        for i, word, own in zip(new, words_, self._new_words(words_), strict=True):
-            ids[i] = self.known[word] = own
+        whole = [i for i in new if slow[i]]
+        words_ = [distinct[i] for i in whole]
+        for i, word, own in zip(whole, words_, self._new_words(words_), strict=True):
+            ids[i] = cache[word] = own
+        for i in new:
+            if ids[i] is None:
+                piece = distinct[i]
+                low = piece.lower()
+                own = cache.get(low)
+                if own is None:
+                    own = self._remember(low, low if low.isascii() else low.encode().decode("latin-1").translate(self.letters))
+                ids[i] = cache[piece] = own
         return ids
 
     def _new_words(self, distinct: list[str]) -> list[bytes]:
@@ -132,27 +161,46 @@ class Encoder:
             ids = [self._by_library(w) if i in special else next(rest) for i, w in enumerate(distinct)]
         return ids
 
+    def _cut(self, found: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words without what is between them: their bytes, the edges of units in these, which are slow, and the first unit of each text."""
+        sizes = found.ends - found.starts
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        data = found.data[words.NOT_BLANK[found.data]]
+        class_ = self.classes[data]
+        class_[data >= 0x80] = SLOW
+        lead = np.flatnonzero((data >= 0xC2) & (data < 0xCA))
+        class_[lead] = class_[lead + 1] = self.classes[((data[lead] & 0x1F).astype(np.int64) << 6) | (data[lead + 1] & 0x3F)]
+        slow = np.zeros(len(data), dtype=bool)
+        if len(sizes):
+            slow_word = np.maximum.reduceat(class_, edges[:-1]) == SLOW
+            slow = np.repeat(slow_word, sizes)
+        # fewer distinct pre-tokens; slow words are lower-cased later, as added tokens have a case
+        data = np.where(slow, data, words.LOWER[data])
+        begins = np.ones(len(data), dtype=bool)
+        begins[1:] = (class_[1:] != class_[:-1]) | (class_[1:] == NUMBER)
+        begins &= ((data & 0xC0) != 0x80) & ~slow
+        begins[edges[:-1]] = True
+        at = np.flatnonzero(begins)
+        return data, np.append(at, len(data)), slow[at], np.searchsorted(at, edges[found.first])
+
     def encode(self, texts: pa.LargeStringArray, end: int) -> pa.ListArray:
         """The ids of each text, and ``end`` after them."""
-        found = words.find_words(texts)
-        n = len(found)
-        # words one after the other, cut out of the block's bytes
-        sizes = found.ends - found.starts
-        edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        inside = np.repeat(found.starts - edges[:-1], sizes) + np.arange(int(edges[-1]))
-        listed = pa.LargeStringArray.from_buffers(n, pa.py_buffer(edges), pa.py_buffer(found.data[inside])).dictionary_encode()
-        ids = self.words(listed.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(ids), dtype=np.int32)
-        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        data, edges, slow, first = self._cut(words.find_words(texts))
+        listed = pa.LargeStringArray.from_buffers(len(slow), pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
         codes = listed.indices.to_numpy(zero_copy_only=False)
-        first = (np.cumsum(counts) - counts)[codes]
-        sizes = counts[codes]
+        slow_unit = np.zeros(len(listed.dictionary), dtype=bool)
+        slow_unit[codes] = slow
+        ids = self.units(listed.dictionary.to_pylist(), slow_unit)
+        # the end id is one unit more, after those of each text
+        flat = np.append(np.frombuffer(b"".join(ids), dtype=np.int32), np.int32(end))
+        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        begins = np.append(np.cumsum(counts) - counts, len(flat) - 1)
+        codes = np.insert(codes, first[1:], len(ids))
+        sizes = np.append(counts, 1)[codes]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if n else 0
-        own = flat[np.repeat(first - (ends - sizes), sizes) + np.arange(total)] if n else np.empty(0, np.int32)
-        edges = np.concatenate([[0], ends])[found.first].astype(np.int64)
-        with_end = np.insert(own, edges[1:], end).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(edges + np.arange(len(edges)), pa.int32()), pa.array(with_end, pa.int32()))
+        own = flat[np.repeat(begins[codes] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        at = np.concatenate([[0], ends])[first + np.arange(len(first))]
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(own, pa.int32()))
 
 
 def write(df: DataFrame, folder: str, tokenizer: str, end: int, key: str = "doc_id", text: str = "text") -> None:
@@ -186,12 +234,13 @@ def offsets(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     return with_offsets(rows, key).drop("file")
 
 
-def with_offsets(rows: DataFrame, key: str) -> DataFrame:
+def with_offsets(rows: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
     """Add ``start`` to rows that have ``file``, the key and ``n_tokens``.
 
-    Sums by file are few; running sums stay within a file, whose size is bounded.
+    Sums by file are few; running sums stay within a file, whose size is bounded.  ``sizes`` has ``file`` and
+    ``n_tokens`` of the same documents, where the rows themselves cost more to make twice.
     """
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    files = (rows if sizes is None else sizes).groupBy("file").agg(F.sum("n_tokens").alias("total"))
     # by number, since the name of file 100000 sorts before that of 99999
     number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
     before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
@@ -215,6 +264,7 @@ def summary(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 names=[key, "n_tokens", "ids_crc32", "file"],
             )
 
-    rows = read(spark, folder, key).select(key, "ids", F.col("_metadata.file_name").alias("file"))
-    rows = rows.mapInArrow(run, f"{key} bigint, n_tokens bigint, ids_crc32 bigint, file string")
-    return with_offsets(rows, key).select(key, "start", "n_tokens", "ids_crc32")
+    stored = read(spark, folder, key).select(key, "n_tokens", "ids", F.col("_metadata.file_name").alias("file"))
+    rows = stored.select(key, "ids", "file").mapInArrow(run, f"{key} bigint, n_tokens bigint, ids_crc32 bigint, file string")
+    # the files' totals need no ids
+    return with_offsets(rows, key, stored.select("file", "n_tokens")).select(key, "start", "n_tokens", "ids_crc32")

@@ -83,6 +83,26 @@ def test_token_files_hold_added_tokens_as_the_library_finds_them(spark):
     assert got[0]["ids"].count(49407) == 1 and got[1]["ids"].count(49406) == 1
 
 
+def test_token_files_cut_plain_words_on_blocks_as_the_library_does():
+    encoder, tokenizer = tokenfiles.Encoder(catalog.WORD_BPE), Tokenizer.from_file(catalog.WORD_BPE)
+    split, one_by_one = encoder.split, []
+    encoder.split = lambda word: one_by_one.append(word) or split(word)
+    parts = ["abc", "Él", "1", "½", "_-", "x|", "É", "²³", "ß", "ǅ"]
+    plain = [f"{a}{b}{c}" for a in parts for b in parts for c in parts]
+    odd = ["don't", "'S", "İz", "日本1", "a\xa0b", "\x85", "\xad", "<|endoftext|>x", "a<b", "e\u0301"]
+    texts = [" ".join(plain), "", " ".join(odd), *odd, "\n", "".join(odd), *(a + b for a in odd for b in parts)]
+    got = encoder.encode(pa.array(texts, pa.large_string()), 2).to_pylist()
+    assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert one_by_one and not set(one_by_one) & {w.lower() for w in plain}
+
+
+def test_token_files_are_summed_up_in_one_read_of_the_ids(spark):
+    folder = fresh_path(spark, "tokens")
+    tokenfiles.write(spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string"), folder, catalog.WORD_BPE, end=2)
+    scans = [line for line in tokenfiles.summary(spark, folder)._jdf.queryExecution().toString().split("Physical Plan")[-1].splitlines() if "FileScan parquet" in line]
+    assert len(scans) == 2 and sum("ids:array" in line for line in scans) == 1
+
+
 def test_token_files_are_readable_by_column_and_key(spark):
     df, _ = documents(spark)
     folder = fresh_path(spark, "tokens")
