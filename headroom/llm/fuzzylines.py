@@ -45,6 +45,9 @@ TIERS = (
     (77, None, 14, (0, 11, 27, 38, 51)),
 )
 _LAST = 2**63 - 1
+#: Words of 64 bits of the sketches of lines that meet all others of a bucket; lines of 500 runs that are
+#: 0.79 alike or less are told apart by that, 0.75 by the usual ones.
+FINER_WORDS = 32
 
 
 def _runs(lines: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +184,10 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     def sketch(nodes: DataFrame) -> DataFrame:
         return linking.sketches(texts, "line", run_sets)
 
-    roots = linking.link(members, compare, threshold, prepare, sketch=sketch)
+    def finer(nodes: DataFrame) -> DataFrame:
+        return linking.sketches(linking.among(texts, "node", nodes, "node"), "line", run_sets, FINER_WORDS)
+
+    roots = linking.link(members, compare, threshold, prepare, sketch=sketch, finer=finer)
     several = distinct.where("copies > 1").select("h1", "h2", F.col("place").alias("first"))
     if roots is not None:
         alike = distinct.join(roots, distinct["h1"] == roots["node"])
@@ -198,9 +204,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshol
     """All columns, ``text`` without repeated lines; ``removed`` names a column for their number."""
     own = Aside(df)
     key, text = own.of(key), own.of(text)
-    gone = repeated_lines(own.rows, key, text, threshold)
+    gone = stage(repeated_lines(own.rows, key, text, threshold), "gone")
     rows = own.rows.withColumns({"doc": F.coalesce(F.col(key).cast("long"), F.lit(_LAST)), "mark": F.xxhash64(text)})
-    rows = rows.join(gone, ["doc", "mark"], "left")
+    # texts that lose nothing need not travel
+    rows = linking.marked(rows, "mark", gone, "mark", "loses")
+    whole = rows.where("not loses").withColumn("gone", F.lit(None).cast("array<int>"))
+    rows = rows.where("loses").join(gone, ["doc", "mark"], "left").unionByName(whole)
 
     def kept_lines(lines: Column) -> Column:
         at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))

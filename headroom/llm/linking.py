@@ -5,7 +5,8 @@ are told by ``sketches``: the parities of a set's elements by hash, whose differ
 as many as the elements that only one of them has.  That bounds the similarity from above, never wrongly, inside the
 join that forms the pairs; the pairs left are compared.
 
-``link`` compares the members of a bucket with its center, the member with the most company.  Large buckets go on
+``link`` compares the members of a bucket with its center, the member with the most company; a bucket of two is done by
+that, and goes no further.  Large buckets go on
 with more centers, chosen from members of other classes than all centers before, as long as that settles a good
 part of them.  Then every member that is not of the first center's class meets all members of other classes that
 it could be similar to.  So every two candidates that are similar end in one class, and the members of one large
@@ -45,18 +46,23 @@ COUNTER_BITS = 18
 FILTER_WORDS_BITS = 20
 
 
-def among(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``column`` may be a key: all that are, and few others.
+def marked(df: DataFrame, column: str, keys: DataFrame, key: str, mark: str, how: str = "left") -> DataFrame:
+    """All rows, with ``mark``: whether ``column`` may be a key, true for all that are and few others.
 
-    A bit map of a fixed size is broadcast, so that rows without partner stay out of a shuffle.
+    A bit map of a fixed size is broadcast, so that rows without partner can stay out of a shuffle.
     """
     hashed = F.xxhash64(F.col(key))
     word = F.shiftrightunsigned(hashed, 64 - FILTER_WORDS_BITS).alias("_word")
     bit = hashed.bitwiseAND(F.lit(63)).cast("int")
     bits = keys.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
     own = F.xxhash64(F.col(column))
-    found = df.withColumn("_word", F.shiftrightunsigned(own, 64 - FILTER_WORDS_BITS)).join(F.broadcast(bits), "_word")
-    return found.where(F.getbit("_bits", own.bitwiseAND(F.lit(63)).cast("int")) == 1).select(df.columns)
+    found = df.withColumn("_word", F.shiftrightunsigned(own, 64 - FILTER_WORDS_BITS)).join(F.broadcast(bits), "_word", how)
+    return found.select(*df.columns, (F.coalesce(F.getbit("_bits", own.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1).alias(mark))
+
+
+def among(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``column`` may be a key: all that are, and few others."""
+    return marked(df, column, keys, key, "_maybe", "inner").where("_maybe").select(df.columns)
 
 
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
@@ -161,7 +167,8 @@ def sketches(texts: DataFrame, text: str, sets: Callable, n_words: int = SKETCH_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in words.blocks(batch, text):
+            # wide sketches of smaller blocks, since bits are counted in 64 bits each
+            for block in words.blocks(batch, text, words.BLOCK_BYTES * 16 // max(n_words, 16)):
                 own, elements, weight = sets(words.strings(block, text))
                 n = block.num_rows
                 total = np.bincount(own, weight, n)
@@ -187,7 +194,7 @@ def _may_be_similar(columns: list[str], other: str, threshold: float) -> Column:
     """
     if not columns:
         return F.lit(True)
-    bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(other + c))) for c in columns if c.startswith("sketch_"))
+    bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(other + c))) for c in columns if c not in ("total", "low"))
     apart = F.greatest(bits * F.least("low", other + "low"), F.abs(F.col("total") - F.col(other + "total")))
     # rounding must not tell apart what could be similar
     return apart * (1 + threshold) <= (F.col("total") + F.col(other + "total")) * (1 - threshold) * (1 + 1e-6) + 1e-6
@@ -244,29 +251,45 @@ def link(
     rarest: Callable[[DataFrame], DataFrame] | None = None,
     crossed: bool = False,
     sketch: Callable[[DataFrame], DataFrame] | None = None,
+    finer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
     """``node`` and ``root`` of all nodes that are linked to another; None if there are none.
 
     ``members`` has ``key`` and ``node`` (long); ``compare`` adds ``sim`` to pairs ``a`` < ``b``; ``sketch`` gives the
     ``sketches`` of nodes, and ``rarest`` the ``prefixes``; where nothing is known but keys, members of frequent keys
     meet under every two of these, and those that have one in common only do not.  ``prepare`` is given all nodes that may
-    ever be compared, before anything else is asked.
+    ever be compared, before anything else is asked.  ``finer`` gives wider sketches, for the members that meet all others.
     """
     met = meetings(members, prepare, rarest, crossed, sketch)
     order = [F.desc("company"), F.xxhash64("node"), F.col("node")]
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(*order))
-    members, n, _ = staged(met.withColumn("rank", rank), "members")
+    columns = _sketched(met)
+    bucket = Window.partitionBy("key")
+    ranks = {"rank": F.row_number().over(bucket.orderBy(*order)), "size": F.count(F.lit(1)).over(bucket)}
+    # the center's columns come to its bucket's rows where these are ranked, so no join is needed for its pairs
+    centers = {f"other_{c}": F.first(c).over(bucket.orderBy(*order)) for c in ("node", *columns)}
+    faced = met.withColumns(ranks | centers).withColumn("near", (F.col("node") != F.col("other_node")) & _may_be_similar(columns, "other_", threshold))
+    kept = [F.when(F.col("size") > 2, F.col(c)).alias(c) for c in columns]
+    faced, n, _ = staged(faced.where("size > 2 or near").select("key", "node", "company", "rank", "size", "near", F.col("other_node").alias("center"), *kept), "members")
     if not n:
         return None
-    columns = _sketched(members)
+    members = faced.where("size > 2").drop("size", "near", "center")
+    slim = members.select("key", "node", "company", "rank")
     roots = compared = None
 
+    def sketched(chosen: DataFrame) -> DataFrame:
+        """Chosen members and the rest of their columns."""
+        return among(members.drop("company", "rank"), "key", chosen, "key").join(chosen, ["key", "node"])
+
     def meet(left: DataFrame, right: DataFrame, where: Column) -> None:
         """Compare what two sides have in a bucket in common, and find the classes anew."""
+        fine = [c for c in left.columns if c.startswith("fine_")]
+        facing = right.select("key", *(F.col(c).alias(f"other_{c}") for c in right.columns if c in ("node", "root", "open") or c in columns or c in fine))
+        # the narrow sketches first, as they cost less
+        pairs = left.join(facing, "key").where("root <> other_root").where(where & _may_be_similar(columns, "other_", threshold) & _may_be_similar(fine, "other_", threshold))
+        verify(pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct())
+
+    def verify(pairs: DataFrame) -> None:
         nonlocal roots, compared
-        facing = right.select("key", *(F.col(c).alias(f"other_{c}") for c in right.columns if c in ("node", "root", "open") or c in columns))
-        pairs = left.join(facing, "key").where("root <> other_root").where(where & _may_be_similar(columns, "other_", threshold))
-        pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         new, n, _ = staged(compare(stage(pairs, "pairs")).select("a", "b", "sim"), "compared")
@@ -276,9 +299,11 @@ def link(
             roots = stage(components(edges), "roots") if n else None
 
     # one center for each bucket, then more for large buckets, as long as they settle an eighth of a bucket
-    open_, chosen, round_ = members.where("rank > 1"), members.where("rank = 1"), 0
+    verify(faced.where("near").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct())
+    open_, chosen, round_ = slim.where("rank > 1"), slim.where("rank = 1"), 0
     while True:
-        meet(_rooted(open_, roots), _rooted(chosen, roots), F.lit(True))
+        if round_:
+            meet(_rooted(sketched(open_), roots), _rooted(sketched(chosen), roots), F.lit(True))
         settled = _rooted(chosen, roots).select("key", "root").distinct()
         left = _rooted(open_, roots).join(settled, ["key", "root"], "left_anti").drop("root")
         if round_:
@@ -288,17 +313,24 @@ def link(
         if round_:
             before = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n_open"))
             sizes = sizes.join(before, "key").where(F.col("n_open") - CENTERS - F.col("n_left") >= F.col("n_open") / 8)
-        open_, n, _ = staged(left.join(sizes.select("key"), "key").select(members.columns), "open")
+        open_, n, _ = staged(left.join(sizes.select("key"), "key").select(slim.columns), "open")
         if not n:
             break
         place = F.row_number().over(Window.partitionBy("key").orderBy("rank"))
         chosen = stage(open_.withColumn("place", place).where(F.col("place") <= CENTERS).drop("place"), "centers")
         round_ += 1
     # the rest of each bucket with all that the first center didn't settle
-    rooted = _rooted(members, roots)
-    first = rooted.where("rank = 1").select("key", F.col("root").alias("first_root"))
-    rooted = stage(rooted.where("rank > 1").join(first, "key").withColumn("open", F.col("root") != F.col("first_root")).drop("first_root", "company", "rank"), "rooted")
-    meet(rooted.where("open"), rooted, ~F.col("other_open") | (F.col("node") < F.col("other_node")))
+    rooted = _rooted(slim, roots).withColumn("open", F.col("root") != F.first("root").over(bucket.orderBy("rank")))
+    rooted = rooted.withColumn("some", F.max("open").over(bucket)).where("some and rank > 1").select("key", "node", "root", "open")
+    rooted, n, _ = staged(rooted, "rooted")
+    if n:
+        rest = sketched(rooted)
+        if finer is not None:
+            wide = finer(rooted.select("node").distinct()).drop("total", "low").dropDuplicates(["node"])
+            wide = stage(wide.withColumnsRenamed({c: c.replace("sketch_", "fine_") for c in wide.columns}), "finer")
+            rest = rest.join(wide, "node")
+        rooted = stage(rest, "rest")
+        meet(rooted.where("open"), rooted, ~F.col("other_open") | (F.col("node") < F.col("other_node")))
     return roots
 
 

@@ -8,11 +8,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from headroom.llm import catalog, fuzzylines, linking, neardup, substrings
 from headroom.llm import words as W
+from headroom.sources import staging
 from tests.llm.samples import SF, documents, empty, rows, sha, words
 
 
@@ -285,6 +287,65 @@ def test_sketches_rule_out_pairs_and_never_a_link(spark):
     assert sum(asked) <= 40 and len(asked) <= 3
 
 
+def test_wider_sketches_leave_out_pairs_just_below_the_threshold(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(500)) for _ in range(3)]
+
+    def changed(text, n):
+        at = set(rng.sample(range(len(text)), n))
+        return "".join("Z" if i in at else c for i, c in enumerate(text))
+
+    # of one base, two of 14 changes each are about 0.6 to 0.8 alike, and those of 2 changes are links
+    texts = [changed(b, n) for b in base for n in [2] * 4 + [13] * 12]
+    known = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    members = known.selectExpr("1L as key", "node")
+    lines = pa.array(texts, pa.large_string())
+
+    def sim(a, b):
+        return float(fuzzylines.jaccard(lines.slice(a, 1), lines.slice(b, 1))[0])
+
+    def found(**settings):
+        compared = []
+
+        def compare(pairs):
+            got = [(r["a"], r["b"], sim(r["a"], r["b"])) for r in pairs.collect()]
+            compared.extend(got)
+            return spark.createDataFrame(got, "a long, b long, sim double")
+
+        roots = linking.link(members, compare, 0.8, sketch=lambda nodes: linking.sketches(known, "line", fuzzylines.run_sets, 8), **settings)
+        return {r["node"]: r["root"] for r in roots.collect()}, compared
+
+    roots, compared = found()
+    finer, fewer = found(finer=lambda nodes: linking.sketches(known.join(nodes, "node"), "line", fuzzylines.run_sets, fuzzylines.FINER_WORDS))
+    assert finer == roots and len(fewer) < len(compared)
+    links = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sim(a, b) >= 0.8}
+    assert links and all(roots[a] == roots[b] for a, b in links) and set(roots) == {x for pair in links for x in pair}
+
+
+def test_buckets_of_two_are_done_with_their_center(spark, monkeypatch):
+    seen = []
+    stage = linking.stage
+    monkeypatch.setattr(linking, "stage", lambda df, name: seen.append((name, stage(df, name))) or seen[-1][1])
+    texts = [f"line number {i // 2} of the whole table, told {'once' if i % 2 else 'twice'} " + "and so on " * 12 + str(i // 2) * 9 for i in range(40)]
+    known = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+
+    def compare(pairs):
+        return pairs.withColumn("sim", F.lit(0.9))
+
+    members = known.selectExpr("node div 2 as key", "node")
+    roots = linking.link(members, compare, 0.8, sketch=lambda nodes: linking.sketches(known, "line", fuzzylines.run_sets, 8))
+    assert {r["node"]: r["root"] for r in roots.collect()} == {i: i - i % 2 for i in range(40)}
+    held = {name: table.count() for name, table in seen if name in ("members", "open", "rooted")}
+    assert held == {"members": 20, "open": 0, "rooted": 0}
+
+
+def test_staged_tables_leave_no_shuffle_files(spark, monkeypatch):
+    before, seen, write = spark.conf.get(staging.FREE_SHUFFLES), [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: seen.append(spark.conf.get(staging.FREE_SHUFFLES)) or write(self, *a, **k))
+    sums = staging.stage(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    assert sums.count() == 7 and seen == ["true"] and spark.conf.get(staging.FREE_SHUFFLES) == before
+
+
 def test_prefixes_of_similar_sets_meet(spark):
     random.seed(5)
     pairs = []
