@@ -11,7 +11,9 @@ together, and a stretch breaks wherever two neighbours stand side by side in no
 The items are broadcast in shards of about ``SHARD_WORDS`` words, and every document passes through
 one automaton after the other, without a shuffle; an item longer than that makes a shard of its
 own size.  After every ``CHAINED`` shards the table is written, so driver and tasks hold no more of a
-benchmark at once, however large it is.  A process builds a shard's automaton once.
+benchmark at once, however large it is.  The shards of one pass, and the cutting after the last, share a Python
+worker, as Spark starts one more for every further step in Python and keeps it with its memory for later stages.
+A process builds a shard's automaton once.
 
 Null texts and empty texts have no words; null items and items without words match nothing.
 Repeated items count once by their id, items without id are hit but not listed.  Repeated documents
@@ -211,20 +213,22 @@ def _shards(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[s
         yield [(r["item"], item_words(r["text"])) for r in numbered.where(F.col("shard") == shard).select("item", "text").collect()]
 
 
-def _kept_automaton(name: str, items, window: int) -> Automaton:
-    """The automaton of a shard, built once in a process; a process keeps the one it used last."""
+def _kept_automaton(group: str, name: str, items, window: int) -> Automaton:
+    """The automaton of a shard, built once in a process; a process keeps those of the group it used last."""
     kept = words.kept_in_process("automaton", dict)
-    if name not in kept:
+    if group not in kept:
         kept.clear()
-        kept[name] = Automaton(items, window)
-    return kept[name]
+        kept[group] = {}
+    if name not in kept[group]:
+        kept[group][name] = Automaton(items, window)
+    return kept[group][name]
 
 
-def _scanner(items, window: int, text: str, again: bool):
+def _scanner(items, window: int, text: str, again: bool, group: str):
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _kept_automaton(name, items, window)
+        own = _kept_automaton(group, name, items, window)
         for batch in batches:
             for block in words.blocks(batch, text):
                 found = words.find_words(words.strings(block, text), words.ALPHANUMERIC, lower=True)
@@ -257,15 +261,35 @@ def _scanner(items, window: int, text: str, again: bool):
     return run
 
 
+def _in_turn(steps: list):
+    """One function of batches that does all steps, in one Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
+
+
+def _scanned(rows: DataFrame, benchmark: DataFrame, window: int, text: str, item: str, item_text: str, last=None) -> DataFrame:
+    """The rows with the columns of ``ADDED``; or what ``last`` makes of these, as rows of the input's schema."""
+    out, schema = rows, T.StructType([*rows.schema.fields, *ADDED.fields])
+    group, steps = uuid.uuid4().hex, []
+    for n, items in enumerate(_shards(benchmark, item, item_text)):
+        if n and n % CHAINED == 0:
+            out = stage(out.mapInArrow(_in_turn(steps), schema), "hits")
+            group, steps = uuid.uuid4().hex, []
+        steps.append(_scanner(items, window, text, again=n > 0, group=group))
+    if last is not None:
+        return out.mapInArrow(_in_turn([*steps, last]), rows.schema)
+    return out.mapInArrow(_in_turn(steps), schema)
+
+
 def find_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """All columns, ``n_words``, ``hit_spans`` (ranges of words) and ``hit_items`` (sorted ids)."""
     own = Aside(df)
-    out, schema = own.rows, T.StructType([*own.rows.schema.fields, *ADDED.fields])
-    for n, items in enumerate(_shards(benchmark, item, item_text)):
-        if n and n % CHAINED == 0:
-            out = stage(out, "hits")
-        out = out.mapInArrow(_scanner(items, window, own.of(text), again=n > 0), schema)
-    return own.back(out, *ADDED.names)
+    return own.back(_scanned(own.rows, benchmark, window, own.of(text), item, item_text), *ADDED.names)
 
 
 def hit_words() -> F.Column:
@@ -273,7 +297,7 @@ def hit_words() -> F.Column:
     return F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
 
 
-def remove_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5, text: str = "text", **names) -> DataFrame:
+def remove_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The table without benchmark passages.
 
     A document of whose words more than the share ``coverage`` are hit goes; from the others every
@@ -281,21 +305,26 @@ def remove_hits(df: DataFrame, benchmark: DataFrame, window: int = 10, coverage:
     """
     own = Aside(df)
     text, columns = own.of(text), own.numbers
-    hits = find_hits(own.rows, benchmark, window, text, **names)
-    hits = hits.where(hit_words() <= coverage * F.col("n_words"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            texts = batch.column(at).to_pylist()
-            for t, spans in enumerate(batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()):
-                if spans:
-                    found = words.find_words(pa.array([texts[t]], pa.large_string()), words.ALPHANUMERIC, lower=True)
-                    raw, end, kept = texts[t].encode(), 0, []
-                    for s in spans:
-                        kept.append(raw[end : found.starts[s["first"]]])
-                        end = int(found.ends[s["stop"] - 1])
-                    texts[t] = b"".join([*kept, raw[end:]]).decode()
-            yield batch.set_column(at, text, pa.array(texts, pa.string())).select(columns)
-
-    return own.back(hits.mapInArrow(run, own.rows.schema))
+            hits = batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()
+            n_words = batch.column(batch.schema.get_field_index("n_words")).to_pylist()
+            stay = [sum(s["stop"] - s["first"] for s in spans) <= coverage * n for spans, n in zip(hits, n_words, strict=True)]
+            batch = batch.select(columns).filter(pa.array(stay, pa.bool_()))
+            hits = [spans for spans, stays in zip(hits, stay, strict=True) if stays]
+            if any(hits):
+                at = batch.schema.get_field_index(text)
+                texts = batch.column(at).to_pylist()
+                for t, spans in enumerate(hits):
+                    if spans:
+                        found = words.find_words(pa.array([texts[t]], pa.large_string()), words.ALPHANUMERIC, lower=True)
+                        raw, end, kept = texts[t].encode(), 0, []
+                        for s in spans:
+                            kept.append(raw[end : found.starts[s["first"]]])
+                            end = int(found.ends[s["stop"] - 1])
+                        texts[t] = b"".join([*kept, raw[end:]]).decode()
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch
+
+    return own.back(_scanned(own.rows, benchmark, window, text, item, item_text, last=cut))

@@ -197,6 +197,22 @@ def test_hits_are_cut_and_covered_documents_go(spark):
     assert decontaminate.find_hits(df, bench.limit(0)).where("size(hit_spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("chained", [decontaminate.CHAINED, 2])
+def test_scans_and_cuts_share_a_python_worker(spark, monkeypatch, chained):
+    df, _ = documents(spark)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = rows(decontaminate.remove_hits(df, bench, coverage=0.9))
+    found = rows(decontaminate.find_hits(df, bench))
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 300)
+    monkeypatch.setattr(decontaminate, "CHAINED", chained)
+    cut, hits = decontaminate.remove_hits(df, bench, coverage=0.9), decontaminate.find_hits(df, bench)
+    # each step in Python of one stage has a worker for each task
+    for out in (cut, hits):
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert rows(cut) == whole
+    assert rows(hits) == found
+
+
 def test_statistics_equal_plain_counts(spark):
     df, pairs = documents(spark)
     got = rows(quality.judge(df, []))
