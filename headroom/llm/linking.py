@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from headroom.llm import words
-from headroom.sources.staging import stage
+from headroom.sources.staging import short_methods, stage
 
 #: How many centers a large bucket has in each round but the first.
 CENTERS = 16
@@ -211,7 +211,7 @@ def meetings(members: DataFrame, prepare: Callable[[DataFrame], None] | None, ra
         by_node, n, _ = staged(met.groupBy("node").agg(F.sum("size").alias("company")), "by_node")
         if n and prepare is not None:
             prepare(by_node.select("node"))
-        own = stage(by_node.join(sketch(by_node.select("node")).dropDuplicates(["node"]), "node"), "sketched") if n else by_node
+        own = by_node.join(sketch(by_node.select("node")), "node") if n else by_node
         return met.drop("size").join(own, "node")
     by_node = _of_several(members, "shared").groupBy("node").agg(F.collect_set(F.struct("key", "size")).alias("keys"))
     few = F.transform(F.filter("keys", lambda k: k["size"] <= FEW), lambda k: k["key"])
@@ -260,7 +260,14 @@ def link(
     meet under every two of these, and those that have one in common only do not.  ``prepare`` is given all nodes that may
     ever be compared, before anything else is asked.  ``finer`` gives wider sketches, for the members that meet all others.
     """
-    met = meetings(members, prepare, rarest, crossed, sketch)
+    by_node = None
+
+    def kept_sketch(nodes: DataFrame) -> DataFrame:
+        nonlocal by_node
+        by_node = stage(sketch(nodes).dropDuplicates(["node"]), "sketched")
+        return by_node
+
+    met = meetings(members, prepare, rarest, crossed, kept_sketch if sketch is not None else None)
     order = [F.desc("company"), F.xxhash64("node"), F.col("node")]
     columns = _sketched(met)
     bucket = Window.partitionBy("key")
@@ -268,17 +275,17 @@ def link(
     # the center's columns come to its bucket's rows where these are ranked, so no join is needed for its pairs
     centers = {f"other_{c}": F.first(c).over(bucket.orderBy(*order)) for c in ("node", *columns)}
     faced = met.withColumns(ranks | centers).withColumn("near", (F.col("node") != F.col("other_node")) & _may_be_similar(columns, "other_", threshold))
-    kept = [F.when(F.col("size") > 2, F.col(c)).alias(c) for c in columns]
-    faced, n, _ = staged(faced.where("size > 2 or near").select("key", "node", "company", "rank", "size", "near", F.col("other_node").alias("center"), *kept), "members")
+    faced = faced.where("size > 2 or near").select("key", "node", "company", "rank", "size", "near", F.col("other_node").alias("center"))
+    with short_methods(faced.sparkSession):
+        faced, n, _ = staged(faced, "members")
     if not n:
         return None
-    members = faced.where("size > 2").drop("size", "near", "center")
-    slim = members.select("key", "node", "company", "rank")
+    slim = faced.where("size > 2").select("key", "node", "company", "rank")
     roots = compared = None
 
     def sketched(chosen: DataFrame) -> DataFrame:
-        """Chosen members and the rest of their columns."""
-        return among(members.drop("company", "rank"), "key", chosen, "key").join(chosen, ["key", "node"])
+        """Chosen members and their sketches, of which each node has one for all its keys."""
+        return chosen if by_node is None else chosen.join(among(by_node, "node", chosen, "node"), "node")
 
     def meet(left: DataFrame, right: DataFrame, where: Column) -> None:
         """Compare what two sides have in a bucket in common, and find the classes anew."""
@@ -292,7 +299,9 @@ def link(
         nonlocal roots, compared
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        new, n, _ = staged(compare(stage(pairs, "pairs")).select("a", "b", "sim"), "compared")
+        with short_methods(pairs.sparkSession):
+            pairs = stage(pairs, "pairs")
+        new, n, _ = staged(compare(pairs).select("a", "b", "sim"), "compared")
         if n:
             compared = new if compared is None else compared.unionAll(new)
             edges, n, _ = staged(compared.where(F.col("sim") >= threshold), "links")

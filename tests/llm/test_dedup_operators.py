@@ -346,6 +346,26 @@ def test_staged_tables_leave_no_shuffle_files(spark, monkeypatch):
     assert sums.count() == 7 and seen == ["true"] and spark.conf.get(staging.FREE_SHUFFLES) == before
 
 
+def test_bounds_on_wide_sketches_are_compiled_and_sketches_kept_once_a_node(spark, monkeypatch):
+    """Methods beyond 8,000 bytes stay interpreted, and a node's sketch does not stand beside each of its keys."""
+    limits, columns, stage = {}, {}, staging.stage
+    write = DataFrameWriter.parquet
+
+    def noted(df, name, *args, **kwargs):
+        monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: limits.setdefault(name, spark.conf.get(staging.METHOD_LIMIT)) and write(self, *a, **k))
+        columns[name] = df.columns
+        return stage(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(linking, "stage", noted)
+    before = spark.conf.get(staging.METHOD_LIMIT)
+    base = "abcdefghijklmnopqrstuvwxyz0123456789" * 3
+    lines = [base[: 60 + i % 7] + f" {i} " + base[i % 30 : i % 30 + 40] for i in range(60)]
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    fuzzylines.repeated_lines(df).collect()
+    assert limits["pairs"] == limits["members"] == "8000" and spark.conf.get(staging.METHOD_LIMIT) == before
+    assert not [c for c in columns["members"] if c.startswith("sketch_")]
+
+
 def test_prefixes_of_similar_sets_meet(spark):
     random.seed(5)
     pairs = []
